@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel, with Nystroem landmarks.
 
-The kernel compares words by their common subsequences of three characters, which may be
-up to SPAN characters apart and weigh DECAY ** span, so that an insult keeps most of its
+The kernel compares words by their common subsequences of four characters, which lie
+within SPAN characters and weigh DECAY ** span, so that an insult keeps most of its
 likeness when characters are left out or put between.  Word ends count as characters,
 punctuation inside a word does not, and runs of single letters are read as one word.
 
@@ -15,7 +15,7 @@ and a word's value costs one look-up for each of its subsequences.  A document's
 the calibrated value of its worst word.
 
 Sizes: at most MAX_POSITIVE and MAX_NEGATIVE labelled documents (lowest hash of the id)
-train the model on the driver; the model is 64 ** 3 floats.  Scoring reads whole texts in
+train the model on the driver; the model is 32 ** 4 floats.  Scoring reads whole texts in
 one pass without exchange.
 
 Null and empty texts have no words and get the score of a document far on the clean side.
@@ -29,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import texts_of
 
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
-LANDMARKS, SPAN, DECAY, LETTERS = 96, 6, 0.7, 64
-OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
+LANDMARKS, SPAN, DECAY, LETTERS = 128, 6, 0.7, 32
+OFFSETS = list(combinations(range(1, SPAN), 3))
 #: Value of a document without words, and the least one of any.
 FLOOR = -2.0
 THRESHOLD = 0.7
+COST, ROUNDS, ALTERED = 30.0, 5, 60
 #: Word values that one task remembers.
 MEMORY = 400_000
 SPACED = re.compile(r"(?<!\S)(?:\S[\s.*_-]+){3,}\S(?!\S)")
@@ -59,7 +61,7 @@ def letter_codes() -> np.ndarray:
     for c, like in STAND_INS.items():
         out[ord(c)] = out[ord(like)]
     for c in "2689":
-        out[ord(c)] = 27 + ord(c) % 10
+        out[ord(c)] = 27 + ord(c) % 5
     return out
 
 
@@ -82,19 +84,19 @@ class Encoded:
     def __init__(self, words: list[str]):
         raw = np.frombuffer("".join(f"\n{w}\n" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         word = (np.cumsum(raw == 10) - 1) // 2
-        code = np.where(raw < 128, CODES[np.minimum(raw, 127)], 37 + raw % (LETTERS - 37))
+        code = np.where(raw < 128, CODES[np.minimum(raw, 127)], 27 + raw % (LETTERS - 27))
         keep = code >= 0
         self.n, self.code, self.word = len(words), code[keep], word[keep]
         length = np.bincount(self.word, minlength=self.n)
-        squares = sum(np.maximum(length - j, 0) * DECAY ** (2 * (j + 1)) for _, j in OFFSETS)
+        squares = sum(np.maximum(length - j, 0) * DECAY ** (2 * (j + 1)) for *_, j in OFFSETS)
         self.norm = np.sqrt(np.maximum(squares, 1e-12))
 
     def subsequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """For each pair of distances: positions, subsequence and weight."""
+        """For each choice of distances: positions, subsequence and weight."""
         c, w = self.code, self.word
-        for i, j in OFFSETS:
+        for i, k, j in OFFSETS:
             at = np.flatnonzero(w[:-j] == w[j:]) if len(w) > j else np.zeros(0, dtype=np.int64)
-            yield at, (c[at] * LETTERS + c[at + i]) * LETTERS + c[at + j], DECAY ** (j + 1)
+            yield at, ((c[at] * LETTERS + c[at + i]) * LETTERS + c[at + k]) * LETTERS + c[at + j], DECAY ** (j + 1)
 
     def dot(self, table: np.ndarray) -> np.ndarray:
         """Inner product of each word's normed subsequence weights with table."""
@@ -105,7 +107,7 @@ class Encoded:
 
     def table(self) -> np.ndarray:
         """Normed subsequence weights of the only word."""
-        out = np.zeros(LETTERS**3)
+        out = np.zeros(LETTERS**4, dtype=np.float32)
         for _, feature, weight in self.subsequences():
             np.add.at(out, feature, weight)
         return out / self.norm[0]
@@ -155,7 +157,7 @@ def nystroem_machine(positive: list[str], negative: list[str], weight: dict[str,
     cost = np.concatenate([[weight.get(p, 1.0) for p in positive], np.full(len(negative), 1.0)])
     cost[: len(positive)] *= 0.5 * len(y) / cost[: len(positive)].sum()
     cost[len(positive) :] *= 0.5 * len(y) / len(negative)
-    w, bias = squared_hinge(k @ root, y, 10 * cost)
+    w, bias = squared_hinge(k @ root, y, COST * cost)
     beta = root @ w
     return Model(sum(b * t for b, t in zip(beta, tables, strict=True)), bias)
 
@@ -181,9 +183,21 @@ def calibrate(model: Model, values: np.ndarray, labels: np.ndarray) -> None:
     model.slope, model.shift = max(float(w[0]), 1e-3), float(w[1])
 
 
+def disturbed(word: str) -> list[str]:
+    """The word with one character put between, doubled or left out, so that the machine learns to bear it."""
+    mid = len(word) // 2
+    return [word[:mid] + "x" + word[mid:], word[:mid] + word[mid - 1] + word[mid:], word[: mid - 1] + word[mid:]] if len(word) > 4 else []
+
+
+def without_copies(bags: list[set[str]]) -> list[set[str]]:
+    """Bags whose two words of lowest hash no earlier bag has: copies would lend their rare words weight."""
+    kept = {tuple(sorted(b, key=lambda w: zlib.crc32(w.encode("utf-8", "replace")))[:2]): b for b in reversed(bags)}
+    return list(kept.values())[::-1]
+
+
 def train(bags: list[set[str]], labels: list[int]) -> Model | None:
     """The model of labelled bags of words; None if a class is missing."""
-    toxic = [b for b, y in zip(bags, labels, strict=True) if y]
+    toxic = without_copies([b for b, y in zip(bags, labels, strict=True) if y])
     clean = [b for b, y in zip(bags, labels, strict=True) if not y]
     if not toxic or not clean:
         return None
@@ -192,18 +206,23 @@ def train(bags: list[set[str]], labels: list[int]) -> Model | None:
     def evidence(w: str) -> float:
         return float(np.log((seen_1[w] + 0.1) / (len(toxic) + 1)) - np.log((seen_0[w] + 0.1) / (len(clean) + 1)))
 
-    least = 2 if len(toxic) < 200 else 3
+    least = max(2, round(len(toxic) ** 0.5 / 2))
     weight = {w: n * e for w, n in seen_1.items() if n >= least and (e := evidence(w)) > 2.5}
     positive = sorted(weight, key=lambda w: (-weight[w], w))[:400]
     if not positive:
         positive = sorted(seen_1, key=lambda w: (-seen_1[w] * evidence(w), w))[:1]
+    for w in positive[:ALTERED]:
+        for v in disturbed(w):
+            if v not in weight and not seen_0[v]:
+                positive.append(v)
+                weight[v] = weight[w] / 4
     common = [w for w, _ in sorted(seen_0.items(), key=lambda x: (-x[1], zlib.crc32(x[0].encode("utf-8", "replace"))))]
     negative = [w for w in common[:3000] if w not in weight] or common[:1]
     others = list(seen_0)
     model = None
-    for step in range(4):
+    for step in range(ROUNDS):
         model = nystroem_machine(positive, negative, weight)
-        if step == 3:
+        if step == ROUNDS - 1:
             break
         value = model.values(others)
         known = set(negative)
