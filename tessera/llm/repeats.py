@@ -8,7 +8,8 @@ anchor form a fragment, about one for every (W - k) / 2 units, and only fragment
 1. anchors are counted; those seen once are forgotten;
 2. fragments with a shared anchor are compared as wholes, by a hash of all their units.
    Of equal fragments all but the first lose every window;
-3. first fragments whose anchor also has *different* fragments are contested: their
+3. first fragments whose anchor also has *different* fragments (or, where a window may repeat
+   its own document, occurs twice in the fragment itself) are contested: their
    windows are compared one by one, which the calling operator does by its own method.
 
 Every step is exact whatever the hash values; a third of all rows in one group shrinks to
@@ -72,6 +73,25 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def hold_twice(grams: np.ndarray, least: np.ndarray, wide: int, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Whether each fragment holds its anchor more than once; least: the smallest gram of each window of wide grams."""
+    if not len(start):
+        return np.zeros(0, dtype=bool)
+    # A gram is some window's smallest if it equals the largest of the minima of the windows over it.
+    edge = np.zeros(wide - 1, dtype=U64)
+    largest = ~sliding_min(~np.concatenate([edge, least, edge]), wide)
+    chosen = np.flatnonzero(grams == largest)
+    value = grams[chosen]
+    at, stop = np.searchsorted(chosen, start), np.searchsorted(chosen, start + windows + wide - 1)
+    count = np.zeros(len(start), dtype=np.int64)
+    live = np.arange(len(start))
+    while len(live):
+        count[live] += value[at[live]] == least[start[live]]
+        at[live] += 1
+        live = live[(at[live] < stop[live]) & (count[live] < 2)]
+    return count > 1
+
+
 @dataclass(frozen=True)
 class Scheme:
     """What a unit is, how long windows and grams are, and what counts as earlier."""
@@ -115,9 +135,10 @@ def fragments(texts: list[bytes], scheme: Scheme, tables: Tables) -> dict[str, n
     units, first = scheme.units(texts, tables)
     w, none = scheme.window, np.zeros(0, dtype=np.int64)
     if len(units) < w:
-        return {"text": none, "start": none, "windows": none, "anchor": none.view(U64), "whole": none.view(U64)}
+        return {"text": none, "start": none, "windows": none, "anchor": none.view(U64), "whole": none.view(U64), "twice": none > 0}
     rolling = Rolling(units, tables)
-    anchor = sliding_min(rolling.all(scheme.gram), w - scheme.gram + 1)
+    grams, wide = rolling.all(scheme.gram), w - scheme.gram + 1
+    least = anchor = sliding_min(grams, wide)
     end = np.repeat(first[1:], np.diff(first))  # of the text that a unit belongs to
     at = np.flatnonzero(np.arange(len(anchor)) + w <= end[: len(anchor)])
     anchor = anchor[at]
@@ -130,6 +151,7 @@ def fragments(texts: list[bytes], scheme: Scheme, tables: Tables) -> dict[str, n
         "windows": windows,
         "anchor": anchor[new],
         "whole": rolling.at(start, start + windows + w - 1),
+        "twice": hold_twice(grams, least, wide, start, windows) if scheme.within else np.zeros(len(start), dtype=bool),
     }
 
 
@@ -155,7 +177,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Written table (anchor, whole, doc_id, start, windows) of the fragments whose anchor is shared."""
+    """Written table (anchor, whole, doc_id, start, windows, twice) of the fragments whose anchor is shared."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
@@ -163,7 +185,7 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
             for ids, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = fragments(texts, scheme, tables)
                 if scheme.within:
-                    anchor, n = np.unique(f["anchor"], return_counts=True)
+                    anchor, n = np.unique(np.concatenate([f["anchor"], f["anchor"][f["twice"]]]), return_counts=True)
                     yield pa.record_batch([signed(anchor), pa.array(n.astype(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "low", "high"])
                 else:
                     owner = np.array(ids, dtype=np.int64)[f["text"]]
@@ -180,8 +202,8 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 f = fragments(texts, scheme, tables)
                 owner = np.array(ids, dtype=np.int64)[f["text"]]
                 yield pa.record_batch(
-                    [signed(f["anchor"]), signed(f["whole"]), pa.array(owner), pa.array(f["start"].astype(np.int32)), pa.array(f["windows"].astype(np.int32))],
-                    ["anchor", "whole", "doc_id", "start", "windows"],
+                    [signed(f["anchor"]), signed(f["whole"]), pa.array(owner), pa.array(f["start"].astype(np.int32)), pa.array(f["windows"].astype(np.int32)), pa.array(f["twice"])],
+                    ["anchor", "whole", "doc_id", "start", "windows", "twice"],
                 )
 
     counted = docs.mapInArrow(anchors, "anchor long, low long, high long").groupBy("anchor")
@@ -190,7 +212,7 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
     else:
         shared = counted.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = materialise(shared.select("anchor"), "anchors")
-    every = docs.mapInArrow(rows, "anchor long, whole long, doc_id long, start int, windows int")
+    every = docs.mapInArrow(rows, "anchor long, whole long, doc_id long, start int, windows int, twice boolean")
     return materialise(every.join(shared, "anchor"), "fragments")
 
 
@@ -198,7 +220,8 @@ def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
     """Written table (doc_id, spans) with spans: (start, windows, anchor, kinds) of fragments to be cut or contested.
 
     kinds 0: every window of the fragment repeats an earlier one.  kinds of 2 or more: the
-    fragment is the first of its content, and its anchor has so many different fragments.
+    fragment is the first of its content, and its anchor has so many different fragments, or
+    occurs twice in it.
     """
     if scheme.within:
         first = F.min(F.struct("doc_id", "start"))
@@ -213,7 +236,7 @@ def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
     kinds = materialise(contents.join(materialise(kinds, "kinds"), "anchor"), "judged")
     spans = (
         found.join(kinds, ["anchor", "whole"])
-        .select("doc_id", "start", "windows", "anchor", F.when(later, F.lit(0)).when(F.col("kinds") > 1, F.col("kinds").cast("int")).alias("kinds"))
+        .select("doc_id", "start", "windows", "anchor", F.when(later, F.lit(0)).when((F.col("kinds") > 1) | F.col("twice"), F.greatest("kinds", F.lit(2)).cast("int")).alias("kinds"))
         .where("kinds is not null")
     )
     return materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "kinds")).alias("spans")), "spans")

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tests.llm.helpers import clashing, documents, edge_cases
 
-from tessera.llm import substring_dedup
+from tessera.llm import substring_dedup, suffix_dedup
 
 
 def brute_words(pairs, window):
@@ -70,3 +71,56 @@ def test_dedup_cuts_texts_and_keeps_columns(spark):
     assert sorted(out) == [0, 1, 3, 4] and substring_dedup.dedup(docs).columns == docs.columns
     assert out[1].text == "other \nthe end" and out[1].n_chars == len(out[1].text)
     assert out[0].text == "intro\n" + text and out[4].text is None
+
+
+def brute_bytes(pairs, length):
+    raw = {i: (t or "").encode() for i, t in pairs}
+    seen, out = set(), []
+    for i in sorted(raw):
+        b, gone = raw[i], [False] * len(raw[i])
+        for a in range(len(b) - length + 1):
+            s = b[a : a + length]
+            if s in seen:
+                gone[a : a + length] = [True] * length
+            seen.add(s)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "length"), [(0, 100), (1, 12), (2, 5)])
+def test_suffix_dedup_equals_brute_force(spark, seed, length, monkeypatch):
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "ab", "é"] if seed else [f"w{i}" for i in range(300)]
+    passages = [" ".join(rng.choices(vocabulary, k=rng.randint(length // 2, length))) for _ in range(5)]
+    texts = edge_cases() + noisy(rng, 50, passages, vocabulary) + ["ab" * 60, "ab" * 90 + "c"]
+    monkeypatch.setattr(suffix_dedup, "HOT", 3 if seed else 256)
+    docs = documents(spark, texts).repartition(6)
+    got = sorted(map(tuple, suffix_dedup.dedup_report(clashing(docs), length).collect()))
+    assert got == brute_bytes(list(enumerate(texts)), length)
+
+
+def test_suffix_dedup_of_ties_and_missing_ids(spark):
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + " x"), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_report(docs).collect()}
+    assert got == {(1, 0, 0), (None, 0, 0), (2, len(text), 1), (3, 0, 0)}
+    assert suffix_dedup.dedup_report(docs.limit(0)).count() == 0
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = random.Random(5)
+    for _ in range(30):
+        parts = ["".join(rng.choices("ab", k=rng.randint(1, 40))).encode() for _ in range(rng.randint(1, 6))]
+        text = b"".join(p + b"\0" for p in parts)
+        raw = np.frombuffer(text, dtype=np.uint8)
+        first = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
+        order, rank = suffix_dedup.suffix_array(raw, first)
+        whole = [(list(p[a:]) + [-len(parts) + k], first[k] + a) for k, p in enumerate(parts) for a in range(len(p) + 1)]
+        assert order.tolist() == [at for _, at in sorted(whole)]
+        prefixes = suffix_dedup.common_prefixes(raw, first, order, rank)
+        texts = [s for s, _ in sorted(whole)]
+        for k in range(1, len(texts)):
+            same = next(i for i, (x, y) in enumerate(zip(texts[k - 1], texts[k], strict=False)) if x != y)
+            assert prefixes[k] == same
