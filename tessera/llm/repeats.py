@@ -242,13 +242,12 @@ def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
     return materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "kinds")).alias("spans")), "spans")
 
 
-def runs_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint, maximal half-open runs that cover what half-open spans cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def runs_of_arrays(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint, maximal half-open runs, in order, that cover what half-open spans cover."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    last = np.append(first[1:], len(start)) - 1
+    return list(zip(start[first].tolist(), reach[last].tolist(), strict=True))

@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import materialise
-from tessera.llm.repeats import Scheme, judged, runs_of, shared_fragments
+from tessera.llm.repeats import Scheme, judged, runs_of_arrays, shared_fragments
 
 SPAN = "array<struct<start:int,windows:int,anchor:long,kinds:int>>"
 
 
-def split_spans(spans: list[dict] | None, window: int) -> tuple[list[tuple[int, int]], list[dict]]:
-    """Runs of units that go in any case, and the contested fragments."""
-    sure = [(s["start"], s["start"] + s["windows"] + window - 1) for s in spans or () if not s["kinds"]]
-    return sure, [s for s in spans or () if s["kinds"]]
+def span_arrays(column: pa.Array) -> Iterator[dict[str, np.ndarray] | None]:
+    """For each row of a SPAN column, its start, windows, anchor and kinds as arrays; None where it is null."""
+    offsets, flat = column.offsets.to_numpy(), column.values
+    fields = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "windows", "anchor", "kinds")}
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for k in range(len(column)):
+        a, b = offsets[k], offsets[k + 1]
+        yield {n: v[a:b] for n, v in fields.items()} if valid[k] else None
+
+
+def sure_runs(spans: dict[str, np.ndarray] | None, window: int) -> list[tuple[int, int]]:
+    """Runs of units that go in any case."""
+    if spans is None:
+        return []
+    sure = spans["kinds"] == 0
+    start, stop = spans["start"][sure], spans["start"][sure] + spans["windows"][sure] + window - 1
+    return runs_of_arrays(start, stop)
 
 
 def remove_repeats(
@@ -53,13 +67,12 @@ def remove_repeats(
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             open_rows, settled, runs = [], [], []
-            for i, spans in enumerate(batch.column(n_in).to_pylist()):
-                sure, contested = split_spans(spans, window)
-                if contested:
+            for i, spans in enumerate(span_arrays(batch.column(n_in))):
+                if spans is not None and spans["kinds"].any():
                     open_rows.append(i)
                 else:
                     settled.append(i)
-                    runs.append(runs_of(sure))
+                    runs.append(sure_runs(spans, window))
             source = pa.RecordBatch.from_arrays(batch.columns[:n_in], names=names)
             if settled:
                 done = finish(source.take(pa.array(settled)), runs)
@@ -78,8 +91,12 @@ def remove_repeats(
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = []
-            for spans, runs in zip(batch.column(n_in).to_pylist(), batch.column(n_in + 1).to_pylist(), strict=True):
-                cut.append(runs_of(split_spans(spans, window)[0] + [(r["a"], r["b"]) for r in runs or ()]))
+            found = batch.column(n_in + 1)
+            offsets, a, b = found.offsets.to_numpy(), found.values.field("a").to_numpy(), found.values.field("b").to_numpy()
+            for k, spans in enumerate(span_arrays(batch.column(n_in))):
+                own = np.array(sure_runs(spans, window), dtype=np.int64).reshape(-1, 2)
+                lo, hi = offsets[k], offsets[k + 1]  # equal where no runs were found
+                cut.append(runs_of_arrays(np.concatenate([own[:, 0], a[lo:hi]]), np.concatenate([own[:, 1], b[lo:hi]])))
             yield finish(pa.RecordBatch.from_arrays(batch.columns[:n_in], names=names), cut)
 
     return done.unionByName(rest.mapInArrow(second_pass, out))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 from tessera.llm.repeats import Rolling, Scheme, Tables, in_chunks, signed, word_places, word_units
-from tessera.llm.resolve import remove_repeats
+from tessera.llm.resolve import remove_repeats, span_arrays
 
 WINDOW = 50
 
@@ -43,16 +43,16 @@ def contested_windows(window: int):
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = Tables()
             for batch in batches:
-                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), span_arrays(batch.column(2)), strict=True)
                 for doc_id, text, spans in rows:
                     units, _ = word_units([text.encode("utf-8", "surrogatepass")], tables)
                     rolling = Rolling(units, tables)
-                    spans = [s for s in spans if s["kinds"] and s["start"] + s["windows"] + window - 1 <= len(units)]
-                    if not spans:
+                    use = (spans["kinds"] > 0) & (spans["start"] + spans["windows"] + window - 1 <= len(units))
+                    n = spans["windows"][use].astype(np.int64)
+                    if not len(n):
                         continue
-                    n = np.array([s["windows"] for s in spans])
-                    start = np.concatenate([np.arange(s["start"], s["start"] + s["windows"]) for s in spans])
-                    anchor = np.repeat(np.array([s["anchor"] for s in spans], dtype=np.int64), n)
+                    start = np.repeat(spans["start"][use] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    anchor = np.repeat(spans["anchor"][use], n)
                     yield pa.record_batch(
                         [pa.array(anchor), signed(rolling.at(start, start + window)), pa.array(np.full(len(start), doc_id)), pa.array(start.astype(np.int32))],
                         ["anchor", "hash", "doc_id", "start"],

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 from tessera.llm.repeats import BYTE_HASH, Rolling, Scheme, Tables, byte_units
-from tessera.llm.resolve import remove_repeats
+from tessera.llm.resolve import remove_repeats, span_arrays
 
 LENGTH = 100
 #: Different fragments of one anchor beyond which it is dealt over several shards.
@@ -58,19 +58,20 @@ def suffix_array(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     end = ends[fragment]
     letters = raw.astype(np.int64) + 1
     letters[ends] = 0
-    # The first six letters as one number; nothing after a terminator.
-    key = np.zeros(n, dtype=np.int64)
-    for k in range(6):
-        at = np.arange(n) + k
-        key = key * 257 + np.where(at <= end, letters[np.minimum(at, n - 1)], 0)
+    # The first seven letters as one number; nothing after a terminator.
+    key = letters.copy()
+    for k in range(1, 7):
+        at = np.arange(k, n + k)
+        key *= 257
+        key += np.where(at <= end, letters[np.minimum(at, n - 1)], 0)
     key[ends] = np.arange(len(size)) - len(size)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.zeros(n, dtype=np.int64)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])) if n else np.zeros(0, dtype=bool)
     # The rank of a group is the place of its first member, so a group that is refined keeps its range.
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 6
+    h = 7
     while True:
         tied = ~(new & np.append(new[1:], True))
         place = np.flatnonzero(tied)
@@ -79,10 +80,11 @@ def suffix_array(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         members = order[place]
         group = rank[members]
         ahead = rank[np.minimum(members + h, end[members])]
-        again = np.lexsort((ahead, group))
-        members, group, ahead = members[again], group[again], ahead[again]
+        key = group * n + ahead  # one number for both, so one sort is enough
+        again = np.argsort(key)
+        members, key = members[again], key[again]
         order[place] = members
-        start = np.concatenate(([True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])))
+        start = np.concatenate(([True], key[1:] != key[:-1]))
         new[place] = start
         rank[members] = np.maximum.accumulate(np.where(start, place, 0))
         h *= 2
@@ -141,6 +143,15 @@ def least_owner(string: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple
     return doc[order][first], start[order][first]
 
 
+def window_runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first start and number of windows of each run of windows that start one after the other."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))) if len(doc) else order
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], start[first], start[last] - start[first] + 1
+
+
 def merge_sorted(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge sorted (digest, doc, start) lists by binary search; of equal digests the smallest (doc, start) stays."""
     digest, doc, start = lists[0]
@@ -167,22 +178,20 @@ def contested_strings(length: int):
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                anchors, kinds, docs, starts, parts = [], [], [], [], []
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), span_arrays(batch.column(2)), strict=True)
                 for doc_id, text, spans in rows:
                     raw = text.encode("utf-8", "surrogatepass")
-                    spans = [s for s in spans if s["kinds"] and s["start"] + s["windows"] + length - 1 <= len(raw)]
-                    if not spans:
-                        continue
-                    yield pa.record_batch(
-                        [
-                            pa.array([s["anchor"] for s in spans], pa.int64()),
-                            pa.array([s["kinds"] for s in spans], pa.int32()),
-                            pa.array([doc_id] * len(spans), pa.int64()),
-                            pa.array([s["start"] for s in spans], pa.int32()),
-                            pa.array([raw[s["start"] : s["start"] + s["windows"] + length - 1] for s in spans], pa.binary()),
-                        ],
-                        ["anchor", "kinds", "doc_id", "start", "bytes"],
-                    )
+                    stop = spans["start"] + spans["windows"] + length - 1
+                    use = np.flatnonzero((spans["kinds"] > 0) & (stop <= len(raw)))
+                    anchors.append(spans["anchor"][use])
+                    kinds.append(spans["kinds"][use])
+                    starts.append(spans["start"][use])
+                    docs.append(np.full(len(use), doc_id, dtype=np.int64))
+                    parts += [raw[a:b] for a, b in zip(starts[-1].tolist(), stop[use].tolist(), strict=True)]
+                if parts:
+                    columns = [pa.array(np.concatenate(x).astype(k)) for x, k in ((anchors, "i8"), (kinds, "i4"), (docs, "i8"), (starts, "i4"))]
+                    yield pa.record_batch([*columns, pa.array(parts, pa.binary())], ["anchor", "kinds", "doc_id", "start", "bytes"])
 
         found = materialise(contested.mapInArrow(pieces, "anchor long, kinds int, doc_id long, start int, bytes binary"), "pieces")
         total = found.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).head()[0]
@@ -202,22 +211,23 @@ def contested_strings(length: int):
             rolling = Rolling(BYTE_HASH[shard.raw], Tables())
             on = np.flatnonzero(hot & least)
             digest = rolling.at(shard.at[on], shard.at[on] + length)
-            gone = np.flatnonzero(~least)
-            none = np.zeros(len(gone), dtype=np.int64)
+            gone_doc, gone_start, gone_windows = window_runs(own_doc[~least], own_start[~least])
+            none = np.zeros(len(gone_doc), dtype=np.int64)
             return pa.table(
                 {
-                    "doc_id": np.concatenate([own_doc[gone], own_doc[on]]),
-                    "start": np.concatenate([own_start[gone], own_start[on]]).astype(np.int32),
+                    "doc_id": np.concatenate([gone_doc, own_doc[on]]),
+                    "start": np.concatenate([gone_start, own_start[on]]).astype(np.int32),
+                    "windows": np.concatenate([gone_windows, np.ones(len(on), dtype=np.int64)]).astype(np.int32),
                     "anchor": np.concatenate([none, anchor[shard.fragment][on]]),
                     "digest": np.concatenate([none, digest.view(np.int64)]),
-                    "open": np.concatenate([np.zeros(len(gone), dtype=bool), np.ones(len(on), dtype=bool)]),
+                    "open": np.concatenate([none > 0, np.ones(len(on), dtype=bool)]),
                 }
             )
 
         local = materialise(
             found.withColumn("shard", shard)
             .groupBy("shard")
-            .applyInArrow(sort_shard, "doc_id long, start int, anchor long, digest long, open boolean"),
+            .applyInArrow(sort_shard, "doc_id long, start int, windows int, anchor long, digest long, open boolean"),
             "shards",
         )
 
@@ -233,16 +243,17 @@ def contested_strings(length: int):
             digest, least_doc, least_start = merge_sorted(lists)
             place = np.searchsorted(digest, key)
             gone = (doc != least_doc[place]) | (start != least_start[place])
-            return pa.table({"doc_id": doc[gone], "start": start[gone]})
+            doc, start, windows = window_runs(doc[gone], start[gone].astype(np.int64))
+            return pa.table({"doc_id": doc, "start": start.astype(np.int32), "windows": windows.astype(np.int32)})
 
         # The anchor is part of the key: equal strings have equal anchors, so 128 bits tell strings apart.
         key = F.xxhash64("anchor", "digest")
         opened = local.where("open").select(key.alias("key"), "doc_id", "start")
         ranged = opened.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-        crossing = ranged.groupBy("range").applyInArrow(merge, "doc_id long, start int")
-        flags = local.where("not open").select("doc_id", "start").unionByName(crossing)
-        spans = F.transform(F.array_sort(F.collect_set("start")), lambda s: F.struct(s.alias("a"), (s + length).alias("b")))
-        return flags.groupBy("doc_id").agg(spans.alias("runs"))
+        crossing = ranged.groupBy("range").applyInArrow(merge, "doc_id long, start int, windows int")
+        flags = local.where("not open").select("doc_id", "start", "windows").unionByName(crossing)
+        run = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
+        return flags.groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
 
     return settle
 
