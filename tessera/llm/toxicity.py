@@ -45,6 +45,7 @@ OFFSETS = list(combinations(range(1, SPAN), 3))
 FLOOR = -2.0
 THRESHOLD = 0.7
 COST, ROUNDS, ALTERED = 30.0, 5, 60
+EVIDENCE, EXTRA = 2.0, 0.5
 #: Word values that one task remembers.
 MEMORY = 400_000
 SPACED = re.compile(r"(?<!\S)(?:\S[\s.*_-]+){3,}\S(?!\S)")
@@ -105,12 +106,21 @@ class Encoded:
             total[at] += weight * table[feature]
         return np.bincount(self.word, total, minlength=self.n) / self.norm
 
-    def table(self) -> np.ndarray:
-        """Normed subsequence weights of the only word."""
-        out = np.zeros(LETTERS**4, dtype=np.float32)
+    def add_to(self, table: np.ndarray, factor: float = 1.0) -> None:
+        """Add the normed subsequence weights of the only word, times factor, to table."""
         for _, feature, weight in self.subsequences():
-            np.add.at(out, feature, weight)
-        return out / self.norm[0]
+            np.add.at(table, feature, factor * weight / self.norm[0])
+
+    def kernels(self, marks: list[str]) -> np.ndarray:
+        """Kernel of each word (row) with each mark (column); one table is used for all marks in turn."""
+        table, out = np.zeros(LETTERS**4, dtype=np.float32), np.empty((self.n, len(marks)))
+        for k, mark in enumerate(marks):
+            one = Encoded([mark])
+            one.add_to(table)
+            out[:, k] = self.dot(table)
+            for _, feature, _ in one.subsequences():
+                table[feature] = 0
+        return out
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -146,10 +156,8 @@ def nystroem_machine(positive: list[str], negative: list[str], weight: dict[str,
     """A support vector machine in the space that the landmarks span."""
     half = LANDMARKS // 2
     marks = list(dict.fromkeys([*positive[:half], *negative[: LANDMARKS - min(half, len(positive))]]))
-    tables = [Encoded([m]).table() for m in marks]
-    words = Encoded([*positive, *negative])
-    k = np.column_stack([words.dot(t) for t in tables])
-    square = np.column_stack([Encoded(marks).dot(t) for t in tables])
+    k = Encoded([*positive, *negative]).kernels(marks)
+    square = Encoded(marks).kernels(marks)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -158,8 +166,10 @@ def nystroem_machine(positive: list[str], negative: list[str], weight: dict[str,
     cost[: len(positive)] *= 0.5 * len(y) / cost[: len(positive)].sum()
     cost[len(positive) :] *= 0.5 * len(y) / len(negative)
     w, bias = squared_hinge(k @ root, y, COST * cost)
-    beta = root @ w
-    return Model(sum(b * t for b, t in zip(beta, tables, strict=True)), bias)
+    table = np.zeros(LETTERS**4)
+    for factor, mark in zip(root @ w, marks, strict=True):
+        Encoded([mark]).add_to(table, factor)
+    return Model(table, bias)
 
 
 def document_values(model: Model, bags: list[set[str]]) -> np.ndarray:
@@ -204,10 +214,10 @@ def train(bags: list[set[str]], labels: list[int]) -> Model | None:
     seen_1, seen_0 = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
 
     def evidence(w: str) -> float:
-        return float(np.log((seen_1[w] + 0.1) / (len(toxic) + 1)) - np.log((seen_0[w] + 0.1) / (len(clean) + 1)))
+        return float(np.log((seen_1[w] + 0.1) / (len(toxic) + 1)) - np.log((seen_0[w] + EXTRA) / (len(clean) + 1)))
 
-    least = max(2, round(len(toxic) ** 0.5 / 2))
-    weight = {w: n * e for w, n in seen_1.items() if n >= least and (e := evidence(w)) > 2.5}
+    least = max(2, round(len(toxic) ** 0.5 / 4))
+    weight = {w: n**0.5 * e for w, n in seen_1.items() if n >= least and (e := evidence(w)) > EVIDENCE}
     positive = sorted(weight, key=lambda w: (-weight[w], w))[:400]
     if not positive:
         positive = sorted(seen_1, key=lambda w: (-seen_1[w] * evidence(w), w))[:1]
