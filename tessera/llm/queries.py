@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, jaccard_join, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, warc
+from tessera.llm import decontamination, fingerprints, jaccard_join, lm_scoring, mixing, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_report(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
 
