@@ -49,8 +49,16 @@ def shuffle_partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return n if size >= 1 << 60 else max(n, min(size // bytes_each, 100_000))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand at most so many rows to Python at once: texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """Only doc_id and text of a table of documents, whatever else it has."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import small_batches, texts_of
 
 WINDOW = 10
 #: Words of items in one automaton (about 500 bytes each in a Python worker).
@@ -245,6 +245,7 @@ def decontaminate(
     No shuffle: rows are filtered and rewritten as they stream by.
     """
     sent = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
     n_at = names.index("n_chars") if "n_chars" in names else None

@@ -33,7 +33,7 @@ U64 = np.uint64
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Units hashed together; longer texts are hashed by themselves.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 class Tables:
@@ -213,7 +213,7 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
         shared = counted.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = materialise(shared.select("anchor"), "anchors")
     every = docs.mapInArrow(rows, "anchor long, whole long, doc_id long, start int, windows int, twice boolean")
-    return materialise(every.join(shared, "anchor"), "fragments")
+    return materialise(every.join(shared.hint("shuffle_hash"), "anchor"), "fragments")
 
 
 def judged(found: DataFrame, scheme: Scheme) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, texts_of
 from tessera.llm.repeats import Scheme, judged, runs_of_arrays, shared_fragments
 
 SPAN = "array<struct<start:int,windows:int,anchor:long,kinds:int>>"
@@ -47,7 +47,7 @@ def remove_repeats(
     contested_runs takes (doc_id, text, spans) of the documents with contested fragments
     and returns (doc_id, runs): the windows among them that repeat an earlier one.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = texts_of(docs)
     spans = judged(shared_fragments(keyed, scheme), scheme)
     names = docs.columns
     at = names.index("doc_id")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, texts_of
 from tessera.llm.repeats import Rolling, Scheme, Tables, in_chunks, signed, word_places, word_units
 from tessera.llm.resolve import remove_repeats, span_arrays
 
@@ -88,8 +88,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return remove_repeats(slim, scheme_for(window), contested_windows(window), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(texts_of(docs), scheme_for(window), contested_windows(window), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str | None:

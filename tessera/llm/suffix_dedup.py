@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, texts_of
 from tessera.llm.repeats import BYTE_HASH, Rolling, Scheme, Tables, byte_units
 from tessera.llm.resolve import remove_repeats, span_arrays
 
@@ -37,7 +37,7 @@ LENGTH = 100
 #: Different fragments of one anchor beyond which it is dealt over several shards.
 HOT = 256
 #: Bytes of fragments that one shard is meant for.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -278,5 +278,4 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (total, gone, spans)), pa.array(kept, pa.string())]
         return pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return remove_repeats(slim, scheme_for(length), contested_strings(length), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return remove_repeats(texts_of(docs), scheme_for(length), contested_strings(length), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import small_batches, texts_of
 
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 LANDMARKS, SPAN, DECAY, LETTERS = 128, 6, 0.7, 32
@@ -322,6 +322,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """The rows of docs, all columns kept, whose score is below threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value) if sent.value else None

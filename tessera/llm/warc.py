@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, shared_dir, shuffle_partitions
+from tessera.llm.common import materialise, shared_dir, shuffle_partitions, small_batches
 
 MIN_BYTES = 0
 LEVEL = 3
@@ -139,6 +139,7 @@ def parse_record(member: bytes) -> Record:
 
 def planned(pages: DataFrame, min_bytes: int) -> DataFrame:
     """Every page with what its record is to be; the payload only where it is written."""
+    small_batches(pages.sparkSession)
     slim = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
