@@ -211,6 +211,11 @@ def _mod(a: Column, b: Column, divisor: Node) -> Column:
     return ((a % b) + b) % b  # the sign of the divisor, as in Python
 
 
+def truth(c: Column) -> Column:
+    """Booleans as they are, numbers true unless zero."""
+    return c.cast("boolean")
+
+
 CALLS: dict[str, Callable[..., Column]] = {
     "abs": F.abs,
     "len": F.length,
@@ -236,8 +241,8 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     "<=": lambda a, b: a <= b,
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
-    "and": lambda a, b: a & b,
-    "or": lambda a, b: a | b,
+    "and": lambda a, b: truth(a) & truth(b),
+    "or": lambda a, b: truth(a) | truth(b),
 }
 
 
@@ -256,9 +261,9 @@ def column(tree: Node, resolve: Callable[[str], Column]) -> Column:
     if op == "neg":
         return -c(args[0])
     if op == "not":
-        return ~c(args[0])
+        return ~truth(c(args[0]))
     if op == "if":
-        return F.when(c(args[0]), c(args[1])).otherwise(c(args[2]))
+        return F.when(truth(c(args[0])), c(args[1])).otherwise(c(args[2]))
     if op == "tuple":
         return F.struct(*[c(a).alias(f"f{k}") for k, a in enumerate(args)])
     if op == "%":

@@ -42,7 +42,7 @@ def load_delimited(spark: SparkSession, paths: dict[str, tuple[str, Schema, str]
 
 
 def fixed_fields(layout: str) -> list[tuple[str, int, int]]:
-    """(letter, size, offset) of each field of a packed layout, without alignment."""
+    """(letter, size, offset) of each field of a layout; numbers are aligned to their size, as in native structs."""
     out, at, number = [], 0, ""
     for c in layout:
         if c.isdigit():
@@ -50,6 +50,7 @@ def fixed_fields(layout: str) -> list[tuple[str, int, int]]:
             continue
         size = int(number or 1) if c == "s" else struct.calcsize(f"<{c}")
         for _ in range(1 if c == "s" else int(number or 1)):
+            at += -at % size if c != "s" else 0
             out.append((c, size, at))
             at += size
         number = ""
@@ -92,11 +93,11 @@ def read_fixed(spark: SparkSession, path: str, layout: str, names: list[str]) ->
 def write_fixed(df: DataFrame, path: str, layout: str) -> None:
     """Packed records as one binary file a partition."""
     fields = fixed_fields(layout)
-    packer = struct.Struct("<" + "".join(f"{s}s" if c == "s" else c for c, s, _ in fields))
+    packing = "@" + "".join(f"{s}s" if c == "s" else c for c, s, _ in fields)
 
     def pack(rows):
         for r in rows:
-            yield packer.pack(*[x.encode()[:s] if c == "s" else x for x, (c, s, _) in zip(r, fields, strict=True)])
+            yield struct.pack(packing, *[x.encode()[:s] if c == "s" else x for x, (c, s, _) in zip(r, fields, strict=True)])
 
     def write(index, rows):
         from pyarrow import fs
