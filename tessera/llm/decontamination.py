@@ -5,22 +5,21 @@ letters nor digits.  The automaton of all items is built once on the driver and
 the executors; a document's words are streamed through it and the longest matching
 suffix is tracked, so the cost is one step a word whatever the number of items.
 
-Size bound of what is broadcast: items are dealt into automata of at most
-``MAX_WORDS_EACH`` words each; a benchmark beyond that gets several automata, through
-which documents pass one after the other, each built from its own slice of the items.
+Size bound of what is broadcast: an automaton holds at most ``MAX_WORDS_EACH`` words (or one
+item); a benchmark beyond that gets several automata, one pass over the documents each.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import small_batches, texts_of
+from tessera.llm.common import materialise, small_batches, texts_of
 
 WINDOW = 10
 #: Words of items in one automaton (about 500 bytes each in a Python worker).
@@ -152,23 +151,24 @@ class SuffixAutomaton:
         return [(a, b) for a, b in runs], found
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW) -> list[SuffixAutomaton]:
+def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[SuffixAutomaton]:
     """One automaton for each slice of at most MAX_WORDS_EACH item words; items without words are in none.
 
-    Items are read through an iterator, so that the driver holds one partition of them and the automata.
+    Items are read through an iterator, so that the driver holds one partition of them and one automaton.
     """
-    out, part, size = [], [], 0
+    part, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").cast("string").alias("t"))
     for r in rows.where("k is not null and t is not null").toLocalIterator():
         words = normal_words(r.t)
         if not words:
             continue
         if part and size + len(words) > MAX_WORDS_EACH:
-            out.append(SuffixAutomaton(part, window))
+            yield SuffixAutomaton(part, window)
             part, size = [], 0
         part.append((r.k, words))
         size += len(words)
-    return [*out, SuffixAutomaton(part, window)] if part else out
+    if part:
+        yield SuffixAutomaton(part, window)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,46 +181,77 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+Finish = Callable[[pa.RecordBatch, list[list[bytes]], list[list[tuple[int, int]]], list[set[str]]], pa.RecordBatch]
+FOUND = "__runs array<long>, __items array<string>"
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish, schema: T.StructType | str) -> DataFrame:
+    """finish(batch of docs, words, hit runs, items) of all rows.
+
+    Documents pass one automaton after the other; what earlier ones found is written with
+    the documents, so that only one automaton is broadcast at a time.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    at, n = docs.columns.index("text"), len(docs.columns)
+    with_found = T.StructType([*docs.schema, *T.StructType.fromDDL(FOUND)])
+
+    def step(sent, last: bool, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = sent.value
+            for batch in batches:
+                old = [[]] * batch.num_rows if first else batch.column(n).to_pylist()
+                items = [set() for _ in old] if first else [set(x or ()) for x in batch.column(n + 1).to_pylist()]
+                words = [normal_words(t) for t in batch.column(at).to_pylist()]
+                runs = []
+                for k, w in enumerate(words):
+                    new, found = machine.hits(w) if machine else ([], set())
+                    known = list(zip(old[k][::2], old[k][1::2], strict=True))
+                    runs.append(merged(known + new) if known and new else known or new)
+                    items[k].update(machine.names[x] for x in found)
+                source = pa.RecordBatch.from_arrays(batch.columns[:n], names=docs_names)
+                if last:
+                    yield finish(source, words, runs, items)
+                else:
+                    flat = [[x for run in r for x in run] for r in runs]
+                    columns = [pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*source.columns, *columns], names=[*docs_names, "__runs", "__items"])
+
+        return run
+
+    docs_names = docs.columns
+    machines = automata(benchmark, window)
+    machine, state, first = next(machines, None), docs, True
+    while True:
+        following = next(machines, None)
+        sent = spark.sparkContext.broadcast(machine)
+        if following is None:
+            return state.mapInArrow(step(sent, True, first), schema)
+        state = materialise(state.mapInArrow(step(sent, False, first), with_found), "matched")
+        machine, first = following, False
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted distinct item ids), spans (half-open word runs) of every row.
 
     A null or empty text has no words and no hits.  Repeated rows and ids are scored row by
     row.  An empty benchmark, or items without words, hit nothing.  Other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = sent.value
-        for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = normal_words(text)
-                runs: list[tuple[int, int]] = []
-                names: set[str] = set()
-                for machine in machines:
-                    r, found = machine.hits(words)
-                    runs += r
-                    names.update(machine.names[k] for k in found)
-                runs = merged(runs)
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in runs))
-                items.append(sorted(names))
-                spans.append([x for run in runs for x in run])
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    return texts_of(docs).mapInArrow(
-        score, "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
-    )
 
+    def score(batch: pa.RecordBatch, words: list, runs: list, items: list) -> pa.RecordBatch:
+        return pa.record_batch(
+            [
+                batch.column(0),
+                pa.array([len(w) for w in words], pa.int64()),
+                pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()),
+                pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                pa.array([[x for run in r for x in run] for r in runs], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "n_words", "n_hit", "items", "spans"],
+        )
+
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
+    return matched(texts_of(docs), benchmark, window, score, schema)
 
 
 def cut(text: str, runs: list[tuple[int, int]]) -> str:
@@ -244,39 +275,21 @@ def decontaminate(
     Rows without hits pass unchanged; n_chars, where present, follows the new text.
     No shuffle: rows are filtered and rewritten as they stream by.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
-    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
     n_at = names.index("n_chars") if "n_chars" in names else None
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = sent.value
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = np.ones(len(texts), dtype=bool)
-            new: dict[int, str] = {}
-            for i, text in enumerate(texts):
-                words = normal_words(text)
-                runs = []
-                for machine in machines:
-                    runs += machine.hits(words)[0]
-                if not runs:
-                    continue
-                runs = merged(runs)
-                if sum(b - a for a, b in runs) > max_coverage * len(words):
-                    keep[i] = False
-                else:
-                    new[i] = cut(text, runs)
-            columns = list(batch.columns)
-            if new:
-                columns[at] = pa.array([new.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type)
-                if n_at is not None:
-                    old = columns[n_at].to_pylist()
-                    columns[n_at] = pa.array(
-                        [len(new[i]) if i in new else x for i, x in enumerate(old)], batch.schema.field(n_at).type
-                    )
-            out = pa.record_batch(columns, schema=batch.schema)
-            yield out if keep.all() else out.filter(pa.array(keep))
-
-    return docs.mapInArrow(clean, docs.schema)
+    def clean(batch: pa.RecordBatch, words: list, runs: list, items: list) -> pa.RecordBatch:
+        hit = [sum(b - a for a, b in r) for r in runs]
+        keep = [h <= max_coverage * len(w) for h, w in zip(hit, words, strict=True)]
+        columns = list(batch.columns)
+        texts = columns[at].to_pylist()
+        new = {i: cut(texts[i], runs[i]) for i, h in enumerate(hit) if h and keep[i]}
+        if new:
+            columns[at] = pa.array([new.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type)
+            if n_at is not None:
+                old = columns[n_at].to_pylist()
+                columns[n_at] = pa.array([len(new[i]) if i in new else x for i, x in enumerate(old)], batch.schema.field(n_at).type)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return matched(docs, benchmark, window, clean, docs.schema)

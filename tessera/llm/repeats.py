@@ -12,9 +12,10 @@ anchor form a fragment, about one for every (W - k) / 2 units, and only fragment
    its own document, occurs twice in the fragment itself) are contested: their
    windows are compared one by one, which the calling operator does by its own method.
 
-Every step is exact whatever the hash values; a third of all rows in one group shrinks to
-one row a task before the exchanges of steps 1 and 2, and the joins are of written tables
-on both sides, so skewed keys can be split at run time.
+No repeat is missed whatever the hash values; different contents are told apart by 128 bits,
+the anchor and the hash of the whole.  A third of all rows in one group shrinks to one row a
+task before the counts of steps 1 and 2, and the joins are of written tables on both sides,
+so skewed keys can be split at run time.
 """
 
 from __future__ import annotations
