@@ -8,8 +8,8 @@ Documents are first reduced to contested fragments (see repeats): strings whose
 gram is shared but whose surroundings differ.  Fragments with equal anchors go to one
 shard, whose suffix array is built in numpy by Larsson-Sadakane refinement: suffixes are
 ranked by their first h bytes, and only groups that are still tied are sorted again by the
-rank h bytes further on, h doubling.  Kasai's scan, with one cursor for each fragment, gives
-the common prefixes of neighbours, and runs of neighbours that share ``length`` bytes are
+rank h bytes further on, h doubling.  Kasai's scan, by cursors side by side, gives the common
+prefixes of neighbours, and runs of neighbours that share ``length`` bytes are
 one string.  An anchor with very many different fragments is dealt over several shards;
 their sorted lists of strings are merged by binary search, range by range of the strings'
 digests, so that no task ever holds all fragments of a hot anchor.
@@ -38,6 +38,8 @@ LENGTH = 100
 HOT = 256
 #: Bytes of fragments that one shard is meant for.
 SHARD_BYTES = 1 << 19
+#: Positions of a fragment that one cursor of the common-prefix scan takes.
+STRIDE = 256
 U64 = np.uint64
 
 
@@ -90,32 +92,42 @@ def suffix_array(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         h *= 2
 
 
-def common_prefixes(raw: np.ndarray, first: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Kasai: bytes that each suffix of the array shares with the one before it, by one cursor for each fragment."""
+def common_prefixes(raw: np.ndarray, first: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Kasai: bytes, up to most, that each suffix of the array shares with the one before it.
+
+    A position's shared bytes are at least those of the position before less one, so a
+    cursor compares each byte about once.  Cursors run side by side, one for every STRIDE
+    positions of a fragment, so that a long fragment takes no more steps than a short one.
+    """
     n = len(raw)
+    out = np.zeros(n, dtype=np.int64)
+    if not n:
+        return out
     size = np.diff(first)
     end = np.repeat(first[1:] - 1, size)
-    out = np.zeros(n, dtype=np.int64)
-    live = np.argsort(-size, kind="stable")
-    sizes = size[live]
-    shared = np.zeros(len(size), dtype=np.int64)
-    for step in range(int(size.max()) if len(size) else 0):
-        live = live[: np.searchsorted(-sizes, -step, side="left")]  # fragments longer than step
-        at = first[live] + step
+    most = n if most is None else most
+    cursors = -(-size // STRIDE)
+    number = np.arange(cursors.sum()) - np.repeat(np.cumsum(cursors) - cursors, cursors)
+    start = np.repeat(first[:-1], cursors) + number * STRIDE
+    sizes = np.minimum(np.repeat(size, cursors) - number * STRIDE, STRIDE)
+    live = np.argsort(-sizes, kind="stable")
+    sizes, start = sizes[live], start[live]
+    shared = np.zeros(len(start), dtype=np.int64)
+    for step in range(int(sizes[0])):
+        k = np.searchsorted(-sizes, -step, side="left")  # cursors with further positions
+        at = start[:k] + step
         place = rank[at]
         before = order[np.maximum(place - 1, 0)]
-        have = np.maximum(shared[live] - 1, 0)
-        have[place == 0] = 0
-        room = np.minimum(end[at] - at, end[before] - before)
+        room = np.minimum(np.minimum(end[at] - at, end[before] - before), most)
         room[place == 0] = 0
+        have = np.minimum(np.maximum(shared[:k] - 1, 0), room)
         going = np.flatnonzero(have < room)
         while len(going):
-            same = raw[at[going] + have[going]] == raw[before[going] + have[going]]
-            going = going[same]
+            going = going[raw[at[going] + have[going]] == raw[before[going] + have[going]]]
             have[going] += 1
             going = going[have[going] < room[going]]
         out[place] = have
-        shared[live] = have
+        shared[:k] = have
     return out
 
 
@@ -127,7 +139,7 @@ class Shard:
         self.raw = np.frombuffer(text, dtype=np.uint8)
         self.first = np.concatenate(([0], np.cumsum([len(f) + 1 for f in fragments], dtype=np.int64)))
         order, rank = suffix_array(self.raw, self.first)
-        prefixes = common_prefixes(self.raw, self.first, order, rank)
+        prefixes = common_prefixes(self.raw, self.first, order, rank, length)
         end = np.repeat(self.first[1:] - 1, np.diff(self.first))
         whole = np.flatnonzero(end[order] - order >= length)
         self.at = order[whole]

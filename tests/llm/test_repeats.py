@@ -109,7 +109,9 @@ def test_suffix_dedup_of_ties_and_missing_ids(spark):
     assert suffix_dedup.dedup_report(docs.limit(0)).count() == 0
 
 
-def test_suffix_array_and_common_prefixes():
+@pytest.mark.parametrize("stride", [3, 256])
+def test_suffix_array_and_common_prefixes(stride, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRIDE", stride)
     rng = random.Random(5)
     for _ in range(30):
         parts = ["".join(rng.choices("ab", k=rng.randint(1, 40))).encode() for _ in range(rng.randint(1, 6))]
@@ -120,6 +122,8 @@ def test_suffix_array_and_common_prefixes():
         whole = [(list(p[a:]) + [-len(parts) + k], first[k] + a) for k, p in enumerate(parts) for a in range(len(p) + 1)]
         assert order.tolist() == [at for _, at in sorted(whole)]
         prefixes = suffix_dedup.common_prefixes(raw, first, order, rank)
+        capped = suffix_dedup.common_prefixes(raw, first, order, rank, 4)
+        assert capped.tolist() == np.minimum(prefixes, 4).tolist()
         texts = [s for s, _ in sorted(whole)]
         for k in range(1, len(texts)):
             same = next(i for i, (x, y) in enumerate(zip(texts[k - 1], texts[k], strict=False)) if x != y)
