@@ -52,11 +52,12 @@ class Block:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         words, self.first = word_units(raw, Tables()) if raw else (np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64))
         self.n = len(words)
-        self.document = np.repeat(np.arange(len(raw)), np.diff(self.first))
+        self.document = np.repeat(np.arange(len(raw), dtype=np.int32), np.diff(self.first))
         self.target = np.array([i in target_ids for i in ids], dtype=bool)
         self.second = np.flatnonzero(self.document[1:] == self.document[:-1]) + 1 if self.n else np.zeros(0, dtype=np.int64)
         pairs = mix(words[self.second - 1] * PAIR + words[self.second])
-        self.keys, self.number = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+        self.keys, number = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+        self.number = number.astype(np.int32)
         self.owner = np.concatenate([self.document, self.document[self.second]])
         self.is_word = np.zeros(len(self.keys), dtype=bool)
         self.is_word[self.number[: self.n]] = True
@@ -70,8 +71,13 @@ class Block:
     def own(self) -> np.ndarray:
         """How often each entry's key occurs in its own document."""
         size = max(len(self.keys), 1)
-        _, at, n = np.unique(self.owner * size + self.number, return_inverse=True, return_counts=True)
-        return n[at].astype(np.float64)
+        pair = self.owner * np.int64(size) + self.number
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else order
+        out = np.empty(len(pair), dtype=np.float32)  # exact below 2 ** 24 occurrences in one document
+        out[order] = np.repeat(np.diff(np.append(first, len(pair))), np.diff(np.append(first, len(pair))))
+        return out
 
     def losses(self, counts: np.ndarray, total: float, vocabulary: float, own: np.ndarray, is_target: bool) -> np.ndarray:
         """Sum of each document's losses under one model, its own words taken out if the model has them."""
@@ -100,7 +106,8 @@ def targets_of(rows: pa.Table) -> set:
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss and background_loss (means over tokens) and score of every row."""
     slim = texts_of(docs)
-    blocks = shuffle_partitions(slim, 64 << 20)
+    # A block's arrays take about fifty times the bytes of its texts; a task holds one block.
+    blocks = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shuffle_partitions(slim, 8 << 20))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     # Null ids are spread by their text.
     deal = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).otherwise(block).alias("block")
