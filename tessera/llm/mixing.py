@@ -23,14 +23,14 @@ import heapq
 import uuid
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
 FRAME, MAX_SOURCES, BLOCK = 1000, 1000, 16
 #: Rows that one window group is meant for.
-GROUP = 4096
+GROUP = 1024
 
 
 def whole_weights(weights: dict, frame: int = FRAME) -> dict:
@@ -139,8 +139,17 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     schema = f"{source} string, lo long, hi long, start long, share long, size long, places array<long>"
     # At most MAX_SOURCES ** 2 / 2 rows and MAX_SOURCES frames, whatever the number of documents.
     schedule = F.broadcast(spark.createDataFrame([(s, lo, lo + n, start, share, size, places) for s, _, lo, n, start, share, size, places in plan], schema).alias("plan"))
-    before = F.sum("n").over(Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(source, bucket, F.coalesce(before, F.lit(0)).alias(first))
+    # Rows before a bucket in two levels, so that no window holds more than the root of a source's buckets.
+    head = F.substring(bucket, 1, -(-digits // 2))
+
+    def before(*keys: str) -> Column:
+        order = "head" if len(keys) == 1 else bucket
+        total = F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(total, F.lit(0))
+
+    headed = counts.withColumn("head", head)
+    heads = headed.groupBy(source, "head").agg(F.sum("n").alias("n")).select(source, "head", before(source).alias("outer"))
+    offsets = headed.withColumn("inner", before(source, "head")).join(heads, [source, "head"]).select(source, bucket, (F.col("outer") + F.col("inner")).alias(first))
     within = F.row_number().over(Window.partitionBy(source, bucket).orderBy(digest, "doc_id"))
     ranked = marked.withColumn(rank, within).join(offsets, [source, bucket]).withColumn(rank, F.col(first) + F.col(rank) - 1)
     ranked = ranked.withColumn("block", F.floor(F.col(rank) / block).cast("long")).alias("docs")

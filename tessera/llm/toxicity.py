@@ -297,7 +297,7 @@ def in_parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int | None) -> Model | None:
     return train(*training_rows(texts_of(docs), labels, held_out))
 
 
@@ -318,9 +318,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, h
     return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, held_out: int | None = 1) -> DataFrame:
     """The rows of docs, all columns kept, whose score is below threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held_out))
     at = docs.columns.index("text")
     small_batches(docs.sparkSession)
 
