@@ -142,6 +142,11 @@ def parse(text: str) -> Node:
     return _convert(tree)
 
 
+def unparse(text: str) -> str:
+    """An expression string in one form of spacing and brackets."""
+    return ast.unparse(ast.parse(text.strip(), mode="eval"))
+
+
 def _convert(t: ast.AST) -> Node:
     if isinstance(t, ast.Constant):
         return node(t.value)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.operators import joins
 from tessera.plans import optimizer, statistics, tuning, workload
 from tessera.plans.schema import Schema
+from tessera.sources import files
 from tessera.sources.database import Database
 from tessera.streaming.windows import windowed_counts
 
@@ -75,6 +76,7 @@ def out(*names: str) -> Schema:
 
 
 IDENTITY = lambda x: x
+NATIONS = [("n_nationkey", "int"), ("n_name", "char(25)"), ("n_regionkey", "int")]
 NET = "cast(l_extendedprice * (1 - l_discount) as decimal(18,4))"
 
 
@@ -468,6 +470,25 @@ def ordered_by(strategy):
 for _name, _strategy in (("left_deep", optimizer.Optimizer), ("bushy", optimizer.BushyOptimizer), ("greedy", optimizer.GreedyOptimizer)):
     query(f"optimizer_{_name}", Q5_PLAIN)(ordered_by(_strategy))
 
+# Sources.
+
+
+@query("source_delimited", "select n_nationkey, n_name, n_regionkey from nation")
+def _(db):
+    path = f"{db.folder}/nation-csv"
+    db.table("nation").write.csv(path, sep="|")
+    return files.read_delimited(db.spark, path, Schema("nation", NATIONS), "isi")
+
+
+@query("source_fixed_records", "select c_custkey as id, cast(c_acctbal as float) as balance, c_mktsegment as segment from customer")
+def _(db):
+    path = f"{db.folder}/customer-fixed"
+    rows = db.table("customer").select(F.col("c_custkey").cast("int"), F.col("c_acctbal").cast("float"), "c_mktsegment")
+    files.write_fixed(rows, path if "://" in path or path.startswith("file:") else f"file://{path}", "if10s")
+    out = files.read_fixed(db.spark, path, "if10s", ["id", "balance", "segment"])
+    return out.select(F.col("id").cast("long").alias("id"), "balance", "segment")
+
+
 # Statistics, indexes, workload, DML, views.
 
 
@@ -506,9 +527,6 @@ def _(db):
     return placed.agg(F.count(F.lit(1)).alias("n"), F.sum("position").cast("decimal(38,0)").alias("places"))
 
 
-NATIONS = [("n_nationkey", "int"), ("n_name", "char(25)"), ("n_regionkey", "int")]
-
-
 def copied(db) -> str:
     db.createRelation("nations", Schema("nations", NATIONS))
     db.insert("nations", db.table("nation"))

@@ -41,6 +41,10 @@ class Tuning:
         """Shuffle partitions of the queries that follow."""
         self.database.spark.conf.set("spark.sql.shuffle.partitions", str(degree))
 
+    def bloom_filters(self, on: bool = True) -> None:
+        """Let Spark filter the large side of a join by a Bloom filter of the small side's keys."""
+        self.database.spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", str(on).lower())
+
     def index(self, name: str, *fields: str) -> int:
         return self.database.createIndex(name, list(fields))
 

@@ -182,6 +182,23 @@ class Database:
         del self.catalog["indexes"][str(number)]
         self.checkpoint()
 
+    def detachIndex(self, number: int) -> dict:  # noqa: N802
+        """Forget an index but keep its copy; the answer lets attachIndex take it up again."""
+        if not self.hasIndexId(number):
+            raise ValueError(f"no index {number}")
+        index = self.catalog["indexes"].pop(str(number))
+        self.checkpoint()
+        return {"number": number, **index}
+
+    def attachIndex(self, index: dict) -> int:  # noqa: N802
+        """Take up a detached index; it is brought up to date when it is next read."""
+        number = index["number"]
+        if self.hasIndexId(number) or self.matchIndex(index["relation"], index["fields"]) is not None:
+            raise ValueError("there is such an index")
+        self.catalog["indexes"][str(number)] = {k: v for k, v in index.items() if k != "number"} | {"fresh": False}
+        self.checkpoint()
+        return number
+
     def hasIndexId(self, number: int) -> bool:  # noqa: N802
         return str(number) in self.catalog["indexes"]
 

@@ -158,6 +158,11 @@ def test_catalog_dml_and_indexes(spark, tmp_path):
     assert sorted(map(tuple, db.table("t").collect())) == sorted(expected)
     assert [r.id for r in db.scanByIndex(primary).collect()] == sorted(i for i, _ in expected)
     assert db.lookupByIndex(second, "n5").head().id == 105 and db.statistics("t")["rows"] == 6
+    held = db.detachIndex(second)
+    assert not db.hasIndexId(second)
+    with pytest.raises(ValueError):
+        db.lookupByIndex(second, "n5")
+    assert db.attachIndex(held) == second and db.lookupByIndex(second, "n5").count() == 1
     again = Database(spark, folder)
     assert again.relations() == ["t"] and again.table("t").count() == 6 and again.hasIndexId(second)
     again.removeIndex(second)
@@ -227,3 +232,16 @@ def test_delimited_and_fixed_sources(spark, db, tmp_path):
     path = f"file://{tmp_path}/fixed"
     files.write_fixed(spark.createDataFrame(values, "i int, f float, flag string, word string").coalesce(1), path, layout)
     assert [tuple(r) for r in files.read_fixed(spark, path, layout, names).collect()] == values
+
+
+def test_tpch_relations(spark, tmp_path):
+    from tessera.sources import tpch
+
+    db = Database(spark, f"file://{tmp_path}/db")
+    tpch.create_relations(db)
+    assert len(db.relations()) == 8 and db.table("lineitem").count() == 0
+    (tmp_path / "orders.csv").write_text("".join(f"{i}|{i}|O|{i}.5|1996-01-02|5-LOW|Clerk#1|0|none\n" for i in range(400)))
+    tpch.load(spark, db, str(tmp_path), names=["orders"])
+    assert db.table("orders").where("o_orderdate = 19960102").count() == 400
+    tpch.load(spark, db, str(tmp_path), 0.5, names=["orders"])
+    assert 120 < db.table("orders").count() < 280
