@@ -50,12 +50,11 @@ def remove_repeats(
     keyed = texts_of(docs)
     spans = judged(shared_fragments(keyed, scheme), scheme)
     names = docs.columns
-    at = names.index("doc_id")
     # Hash join with the short side built: the texts are streamed and need no sort.
-    inner = spans.withColumnRenamed("doc_id", "__doc").hint("shuffle_hash")
-    joined = docs.join(inner, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc").withColumnRenamed("spans", "__spans")
+    inner = spans.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans")).hint("shuffle_hash")
+    joined = docs.join(inner, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    both = T.StructType([*[T.StructField(f"o{i}", f.dataType) for i, f in enumerate(out)], *[T.StructField(f"i{i}", f.dataType) for i, f in enumerate(docs.schema)], T.StructField("spans", T._parse_datatype_string(SPAN))])
+    both = T.StructType([*[T.StructField(f"o{i}", f.dataType) for i, f in enumerate(out)], *[T.StructField(f"i{i}", f.dataType) for i, f in enumerate(docs.schema)], T.StructField("__spans", T._parse_datatype_string(SPAN))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(both)
@@ -82,9 +81,9 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([*nulls(list(arrow)[:n_out], some.num_rows), *[c.cast(f.type) for c, f in zip(some.columns, list(arrow)[n_out:], strict=True)]], schema=arrow)
 
     passed = materialise(joined.mapInArrow(first_pass, both), "settled")
-    done = passed.where("spans is null").select(*[F.col(f"o{i}").alias(f.name) for i, f in enumerate(out)])
-    contested = passed.where("spans is not null").select(*[F.col(f"i{i}").alias(n) for i, n in enumerate(names)], "spans")
-    slim = contested.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "spans")
+    done = passed.where("__spans is null").select(*[F.col(f"o{i}").alias(f.name) for i, f in enumerate(out)])
+    contested = passed.where("__spans is not null").select(*[F.col(f"i{i}").alias(n) for i, n in enumerate(names)], "__spans")
+    slim = contested.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__spans").alias("spans"))
     runs = contested_runs(slim).select(F.col("doc_id").alias("__doc"), F.col("runs").alias("__runs"))
     rest = contested.join(runs.hint("shuffle_hash"), contested["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
 

@@ -35,6 +35,6 @@ def clashing(df):
     """The same rows with further columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("bucket", "start", "hash", "n", "key", "place", "first", "guest", "class_id", "score", "n_words"):
+    for name in ("spans", "runs", "windows", "anchor", "digest", "label", "toxic", "payload", "size", "lo", "bucket", "start", "hash", "n", "key", "place", "first", "guest", "class_id", "score", "n_words"):
         df = df.withColumn(name, F.lit(name))
     return df
