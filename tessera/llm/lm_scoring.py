@@ -21,6 +21,9 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,7 +39,7 @@ PAIR = U64(0x9FB21C651E98DF25)
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Bytes of x by place value, so that the shuffle's compression finds the equal ones together."""
+    """Bytes of x by place value, so that compression finds the equal ones together."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
@@ -45,6 +48,19 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, len(raw) // width).T).view(kind).ravel()
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts, most of which are 0 or 1, by place value without the empty places, compressed."""
+    width = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
+    places = packed(counts.astype(np.uint64))[: width * len(counts)]
+    return bytes([width]) + zlib.compress(places, 1)
+
+
+def counts_of(raw: bytes) -> np.ndarray:
+    width, places = raw[0], np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8)
+    places = places.reshape(width, len(places) // width)
+    return sum(places[k].astype(np.int64) << (8 * k) for k in range(width))
+
+
 class Block:
     """Tokens of some documents as numbers of the block's distinct unigrams and bigrams."""
 
@@ -121,16 +137,19 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pa.table({k: pa.array([], t) for k, t in (("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("target", pa.binary()), ("rest", pa.binary()), ("words", pa.binary()))})
         b = Block(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), targets_of(right))
         at = cut_places(b.keys, blocks)
-        target, rest = (x.astype(np.uint32) for x in b.counts())
-        cut = lambda x: [packed(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        target, rest = b.counts()
+
+        def cut(x: np.ndarray, pack: Callable[[np.ndarray], bytes]) -> pa.Array:
+            return pa.array([pack(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
         return pa.table(
             {
                 "bucket": pa.array(np.arange(blocks), pa.int32()),
                 "block": pa.array([left.column("block")[0].as_py()] * blocks, pa.int32()),
-                "keys": pa.array(cut(b.keys), pa.binary()),
-                "target": pa.array(cut(target), pa.binary()),
-                "rest": pa.array(cut(rest), pa.binary()),
-                "words": pa.array(cut(b.is_word.view(np.uint8)), pa.binary()),
+                "keys": cut(b.keys, packed),
+                "target": cut(target, squeezed),
+                "rest": cut(rest, squeezed),
+                "words": cut(b.is_word, lambda x: np.packbits(x).tobytes()),
             }
         )
 
@@ -140,17 +159,18 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
         keys = [unpacked(x, U64) for x in columns["keys"]]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         size = int(at.max()) + 1 if len(at) else 0
-        target, rest = (np.bincount(at, np.concatenate([unpacked(x, np.uint32) for x in columns[k]]), minlength=size) for k in ("target", "rest"))
+        target, rest = (np.bincount(at, np.concatenate([counts_of(x) for x in columns[k]]), minlength=size) for k in ("target", "rest"))
         word = np.zeros(size, dtype=bool)
-        word[at[np.concatenate([unpacked(x, np.uint8) for x in columns["words"]]).astype(bool)]] = True
+        flags = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(k)) for x, k in zip(columns["words"], keys, strict=True)]
+        word[at[np.concatenate(flags).astype(bool)]] = True
         ends = np.cumsum([0] + [len(k) for k in keys])
         n = len(keys)
         return pa.table(
             {
                 "block": table.column("block").combine_chunks(),
                 "bucket": table.column("bucket").combine_chunks(),
-                "target": pa.array([packed(target[at[i:j]].astype(np.uint64)) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                "rest": pa.array([packed(rest[at[i:j]].astype(np.uint64)) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                "target": pa.array([squeezed(target[at[i:j]].astype(np.uint64)) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                "rest": pa.array([squeezed(rest[at[i:j]].astype(np.uint64)) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                 "vocabulary": pa.array([int(word.sum())] * n, pa.int64()),
                 "target_tokens": pa.array([int(target[word].sum())] * n, pa.int64()),
                 "rest_tokens": pa.array([int(rest[word].sum())] * n, pa.int64()),
@@ -164,7 +184,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pa.table({k: pa.array([], pa.int64() if k in names[:2] else pa.float64()) for k in names})
         b = Block(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), targets_of(right))
         sums = right.filter(pc.is_valid(right.column("bucket"))).sort_by("bucket")
-        target, rest = (np.concatenate([unpacked(x, np.uint64) for x in sums.column(k).to_pylist()]).astype(np.float64) for k in ("target", "rest"))
+        target, rest = (np.concatenate([counts_of(x) for x in sums.column(k).to_pylist()]).astype(np.float64) for k in ("target", "rest"))
         vocabulary, nt, nr = (sum(sums.column(k).to_pylist()) for k in ("vocabulary", "target_tokens", "rest_tokens"))
         own, n = b.own(), np.diff(b.first)
         lt = b.losses(target, nt, vocabulary, own, True) / np.maximum(n, 1)
