@@ -202,10 +202,9 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
             for ids, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = fragments(texts, scheme, tables)
                 owner = np.array(ids, dtype=np.int64)[f["text"]]
-                yield pa.record_batch(
-                    [signed(f["anchor"]), signed(f["whole"]), pa.array(owner), pa.array(f["start"].astype(np.int32)), pa.array(f["windows"].astype(np.int32)), pa.array(f["twice"])],
-                    ["anchor", "whole", "doc_id", "start", "windows", "twice"],
-                )
+                # Three small fields in one: rows of this table are the bulk of what is shuffled.
+                place = f["start"].astype(np.int64) << 32 | f["windows"].astype(np.int64) << 1 | f["twice"]
+                yield pa.record_batch([signed(f["anchor"]), signed(f["whole"]), pa.array(owner), pa.array(place)], ["anchor", "whole", "doc_id", "place"])
 
     counted = docs.mapInArrow(anchors, "anchor long, low long, high long").groupBy("anchor")
     if scheme.within:
@@ -213,8 +212,12 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
     else:
         shared = counted.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = materialise(shared.select("anchor"), "anchors")
-    every = docs.mapInArrow(rows, "anchor long, whole long, doc_id long, start int, windows int, twice boolean")
-    return materialise(every.join(shared.hint("shuffle_hash"), "anchor"), "fragments")
+    every = docs.mapInArrow(rows, "anchor long, whole long, doc_id long, place long")
+    found = every.join(shared.hint("shuffle_hash"), "anchor")
+    place = F.col("place")
+    start, windows = F.shiftright(place, 32).cast("int"), F.shiftright(place.bitwiseAND(0xFFFFFFFF), 1).cast("int")
+    twice = place.bitwiseAND(1) == 1
+    return materialise(found.select("anchor", "whole", "doc_id", start.alias("start"), windows.alias("windows"), twice.alias("twice")), "fragments")
 
 
 def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
