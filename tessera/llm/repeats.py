@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix, odd_powers
+from tessera.llm.common import materialise, mix, odd_powers, release
 
 U64 = np.uint64
 BASE = 0xD1342543DE82EF95
@@ -217,12 +217,17 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
     place = F.col("place")
     start, windows = F.shiftright(place, 32).cast("int"), F.shiftright(place.bitwiseAND(0xFFFFFFFF), 1).cast("int")
     twice = place.bitwiseAND(1) == 1
-    return materialise(found.select("anchor", "whole", "doc_id", start.alias("start"), windows.alias("windows"), twice.alias("twice")), "fragments")
+    out = found.select("anchor", "whole", "doc_id", start.alias("start"), windows.alias("windows"), twice.alias("twice"))
+    out = materialise(out, "fragments")
+    release(shared)
+    return out
 
 
 def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
     """Written table (doc_id, spans) with spans: (start, windows, anchor, kinds) of fragments to be cut or contested.
 
+    found is deleted afterwards.
+
     kinds 0: every window of the fragment repeats an earlier one.  kinds of 2 or more: the
     fragment is the first of its content, and its anchor has so many different fragments, or
     occurs twice in it.
@@ -235,15 +240,17 @@ def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
         later = F.col("doc_id") > F.col("first")
     contents = found.groupBy("anchor", "whole").agg(first.alias("first"))
     contents = materialise(contents, "contents")
-    # Two different contents of one anchor: the least and the greatest hash differ.
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = materialise(contents.join(materialise(kinds, "kinds"), "anchor"), "judged")
+    numbers = materialise(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    kinds = materialise(contents.join(numbers, "anchor"), "judged")
+    release(contents, numbers)
     spans = (
         found.join(kinds, ["anchor", "whole"])
         .select("doc_id", "start", "windows", "anchor", F.when(later, F.lit(0)).when((F.col("kinds") > 1) | F.col("twice"), F.greatest("kinds", F.lit(2)).cast("int")).alias("kinds"))
         .where("kinds is not null")
     )
-    return materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "kinds")).alias("spans")), "spans")
+    out = materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "kinds")).alias("spans")), "spans")
+    release(found, kinds)
+    return out
 
 
 def runs_of_arrays(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:

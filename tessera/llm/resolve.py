@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, texts_of
+from tessera.llm.common import materialise, release, texts_of
 from tessera.llm.repeats import Scheme, judged, runs_of_arrays, shared_fragments
 
 SPAN = "array<struct<start:int,windows:int,anchor:long,kinds:int>>"
@@ -81,6 +81,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([*nulls(list(arrow)[:n_out], some.num_rows), *[c.cast(f.type) for c, f in zip(some.columns, list(arrow)[n_out:], strict=True)]], schema=arrow)
 
     passed = materialise(joined.mapInArrow(first_pass, both), "settled")
+    release(spans)
     done = passed.where("__spans is null").select(*[F.col(f"o{i}").alias(f.name) for i, f in enumerate(out)])
     contested = passed.where("__spans is not null").select(*[F.col(f"i{i}").alias(n) for i, n in enumerate(names)], "__spans")
     slim = contested.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__spans").alias("spans"))

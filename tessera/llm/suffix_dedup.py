@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, texts_of
+from tessera.llm.common import materialise, release, texts_of
 from tessera.llm.repeats import BYTE_HASH, Rolling, Scheme, Tables, byte_units
 from tessera.llm.resolve import remove_repeats, span_arrays
 
@@ -242,6 +242,7 @@ def contested_strings(length: int):
             .applyInArrow(sort_shard, "doc_id long, start int, windows int, anchor long, digest long, open boolean"),
             "shards",
         )
+        release(found)
 
         def merge(table: pa.Table) -> pa.Table:
             """All shards' strings of one range of digests: sorted lists, one for each arriving chunk, merged by binary search."""
