@@ -6,11 +6,15 @@ due by slot ceil((k + 1) / w); in each slot the released block with the earliest
 is taken.  With weights that sum to one this meets every deadline, so after any number of
 slots each source is less than one block away from its share.
 
-Weights are whole numbers of blocks in a frame of FRAME slots, and a schedule repeats from
-frame to frame, so only one frame is simulated on the driver; where a source runs out, a new
-phase begins in which the weights of the remaining ones are scaled up.  The driver handles
-one number for each source (at most MAX_SOURCES), never documents: their positions come
-from counts by bucket of the order, and a window over buckets that no source can overfill.
+Weights are exact: whole numbers in the proportion of the target weights, whatever their
+size, so releases and deadlines hold over a whole phase and nothing is rounded.  Where a
+source runs out, a new phase begins in which the weights of the remaining ones are scaled
+up.  The driver plays the schedule once and keeps its state (a few numbers for each of at
+most MAX_SOURCES sources) every FRAME slots; from these states executors play the frames
+again, side by side, and write the slot of every block.  The driver's time grows with the
+number of blocks, its memory with that number over FRAME; it never handles documents: their
+positions come from counts by bucket of the order, and a window over buckets that no
+source can overfill.
 
 A null source is a source of its own; null texts count as documents.  Null ids share one
 bucket and are ordered by text hash; repeated rows are ordered arbitrarily among
@@ -20,9 +24,12 @@ themselves.  An empty table gives an empty result.  No row is dropped.
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,75 +40,80 @@ FRAME, MAX_SOURCES, BLOCK = 1000, 1000, 16
 GROUP = 1024
 
 
-def whole_weights(weights: dict, frame: int = FRAME) -> dict:
-    """Positive whole numbers in proportion to weights that sum to frame, by largest remainders; frame grows if need be."""
-    total = sum(map(Fraction, weights.values()))
-    frame = max(frame, 2 * len(weights))
-    exact = {s: Fraction(w) * frame / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    k = 0
-    while sum(out.values()) < frame:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out.values()) > frame:
-        largest = max(out, key=lambda s: (out[s] - exact[s], out[s]))
-        if out[largest] == 1:
-            largest = max(out, key=out.get)
-        out[largest] -= 1
-    return out
+def whole_weights(weights: dict) -> dict:
+    """The least positive whole numbers in exactly the proportion of positive weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    out = {s: w.numerator * (scale // w.denominator) for s, w in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: w // common for s, w in out.items()}
 
 
-def pfair_frame(shares: dict) -> list:
-    """The source of each slot of one frame: earliest deadline first among released blocks."""
-    frame = sum(shares.values())
-    release: list[list] = [[] for _ in range(frame)]
-    for s, w in shares.items():
-        for k in range(w):
-            release[k * frame // w].append((-(-(k + 1) * frame // w), str(s), k, s))
-    ready: list[tuple] = []
-    out = []
-    for slot in range(frame):
-        for block in release[slot]:
-            heapq.heappush(ready, block)
-        due, _, _, source = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a deadline was missed")
-        out.append(source)
-    return out
-
-
-def phases(blocks: dict, weights: dict, frame: int = FRAME) -> list[tuple]:
-    """(source, phase, first block, blocks, first slot, share, frame, slots of the share in the frame) of all phases.
-
-    A phase ends with the slot in which some source's last block is taken; the next phase
-    starts a new frame with the sources that remain.
+class Schedule:
+    """Earliest deadline first among released blocks, from any slot on; sources are numbers, which break ties.
+
+    start is the first slot of the phase, base the blocks that each source had taken by
+    then, done those taken by slot.  A phase ends with the slot in which some source's last
+    block is taken.
     """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out, slot, phase = [], 0, 0
-    while left:
-        shares = whole_weights({s: weights[s] for s in left}, frame)
-        order = pfair_frame(shares)
-        size = len(order)
-        places: dict = {s: [] for s in left}
-        for t, s in enumerate(order):
-            places[s].append(t)
-        # The slot at which each source would run out; the first of them ends the phase.
-        last = {s: (n - 1) // shares[s] * size + places[s][(n - 1) % shares[s]] for s, n in left.items()}
-        stop = min(last.values()) + 1
-        for s in list(left):
-            full, rest = divmod(stop, size)
-            taken = full * shares[s] + sum(t < rest for t in places[s])
-            if taken:
-                out.append((s, phase, done[s], taken, slot, shares[s], size, places[s]))
-            done[s] += taken
-            left[s] -= taken
-            if not left[s]:
-                del left[s]
-        slot += stop
-        phase += 1
-    return out
+
+    def __init__(self, weights: list[int], blocks: list[int], slot: int = 0, start: int = 0, base: list | None = None, done: list | None = None):
+        self.weights, self.blocks, self.slot, self.start = weights, blocks, slot, start
+        self.base = list(base or [0] * len(blocks))
+        self.done = list(done or self.base)
+        self._queue()
+
+    def state(self) -> tuple:
+        return self.slot, self.start, list(self.base), list(self.done)
+
+    def _queue(self) -> None:
+        live = [s for s, n in enumerate(self.blocks) if self.base[s] < n]
+        self.total = sum(self.weights[s] for s in live)
+        self.ready: list[tuple] = []
+        self.later: list[tuple] = []
+        for s in live:
+            self._push(s)
+
+    def _push(self, s: int) -> None:
+        k, w = self.done[s] - self.base[s], self.weights[s]
+        heapq.heappush(self.later, (k * self.total // w, -(-(k + 1) * self.total // w), s))
+
+    def take(self, slots: int) -> list[tuple[int, int]]:
+        """(source, block) of each of the next slots; fewer at the end."""
+        out: list[tuple[int, int]] = []
+        while len(out) < slots and (self.ready or self.later):
+            t = self.slot - self.start
+            while self.later and self.later[0][0] <= t:
+                _, due, s = heapq.heappop(self.later)
+                heapq.heappush(self.ready, (due, s))
+            due, s = heapq.heappop(self.ready)
+            if due <= t:
+                raise AssertionError("a deadline was missed")
+            out.append((s, self.done[s]))
+            self.done[s] += 1
+            self.slot += 1
+            if self.done[s] < self.blocks[s]:
+                self._push(s)
+            else:
+                self.start, self.base = self.slot, list(self.done)
+                self._queue()
+        return out
+
+
+def pfair_frame(shares: dict) -> list:
+    """The source of each slot of one frame, after which the schedule of these whole weights repeats."""
+    names = sorted(shares, key=str)
+    weights = [shares[s] for s in names]
+    # One block more than the frame takes: no source runs out in it.
+    return [names[s] for s, _ in Schedule(weights, [w + 1 for w in weights]).take(sum(weights))]
+
+
+def states(weights: list[int], blocks: list[int], frame: int = FRAME) -> Iterator[tuple]:
+    """The schedule's state at every frame slots, from 0 on."""
+    schedule, total = Schedule(weights, blocks), sum(blocks)
+    while schedule.slot < total:
+        yield schedule.state()
+        schedule.take(frame)
 
 
 def default_weights(counts: dict, power: float = 0.5) -> dict:
@@ -135,10 +147,21 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
         raise ValueError(f"more than {MAX_SOURCES} sources")
     target = default_weights(sizes)
     target.update({"null" if s is None else f"s{s}": Fraction(w) for s, w in (weights or {}).items() if Fraction(w) > 0})
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, {s: target[s] for s in sizes}, frame)
-    schema = f"{source} string, lo long, hi long, start long, share long, size long, places array<long>"
-    # At most MAX_SOURCES ** 2 / 2 rows and MAX_SOURCES frames, whatever the number of documents.
-    schedule = F.broadcast(spark.createDataFrame([(s, lo, lo + n, start, share, size, places) for s, _, lo, n, start, share, size, places in plan], schema).alias("plan"))
+    names = sorted(sizes)
+    shares = whole_weights({s: target[s] for s in names}) if names else {}
+    weight, blocks = [shares[s] for s in names], [-(-sizes[s] // block) for s in names]
+    # A state holds two numbers a source: longer frames where sources are many.
+    frame = max(frame, 16 * len(names))
+    frames = spark.createDataFrame(list(states(weight, blocks, frame)), "slot long, start long, base array<long>, done array<long>")
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.to_pylist():
+                taken = Schedule(weight, blocks, **at).take(frame)
+                columns = [[names[s] for s, _ in taken], [k for _, k in taken], range(at["slot"], at["slot"] + len(taken))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=[source, "block", "slot"])
+
+    schedule = frames.mapInArrow(play, f"{source} string, block long, slot long")
     # Rows before a bucket in two levels, so that no window holds more than the root of a source's buckets.
     head = F.substring(bucket, 1, -(-digits // 2))
 
@@ -149,12 +172,17 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
 
     headed = counts.withColumn("head", head)
     heads = headed.groupBy(source, "head").agg(F.sum("n").alias("n")).select(source, "head", before(source).alias("outer"))
-    offsets = headed.withColumn("inner", before(source, "head")).join(heads, [source, "head"]).select(source, bucket, (F.col("outer") + F.col("inner")).alias(first))
+    offsets = headed.withColumn("inner", before(source, "head")).join(heads, [source, "head"]).select(source, bucket, "n", (F.col("outer") + F.col("inner")).alias(first))
+    # The slots of a bucket's blocks, in order: documents meet them with the keys that their window has anyway.
+    span = F.sequence(F.floor(F.col(first) / block), F.floor((F.col(first) + F.col("n") - 1) / block))
+    slots = offsets.select(source, bucket, first, F.explode(span).alias("block")).join(schedule, [source, "block"])
+    slots = slots.groupBy(source, bucket, first).agg(F.sort_array(F.collect_list("slot")).alias("slots")).alias("plan")
     within = F.row_number().over(Window.partitionBy(source, bucket).orderBy(digest, "doc_id"))
-    ranked = marked.withColumn(rank, within).join(offsets, [source, bucket]).withColumn(rank, F.col(first) + F.col(rank) - 1)
-    ranked = ranked.withColumn("block", F.floor(F.col(rank) / block).cast("long")).alias("docs")
-    mine = (F.col(f"docs.{source}") == F.col(f"plan.{source}")) & F.col("block").between(F.col("plan.lo"), F.col("plan.hi") - 1)
-    k, share = F.col("block") - F.col("plan.lo"), F.col("plan.share")
-    slot = F.col("plan.start") + F.floor(k / share).cast("long") * F.col("plan.size") + F.element_at("plan.places", (k % share + 1).cast("int"))
-    out = ranked.join(schedule, mine).withColumn("slot", slot).withColumn("place", F.col("slot") * block + F.col(rank) % block)
-    return out.select(*[F.col(f"docs.{c}") for c in kept], "block", "slot", "place")
+    ranked = marked.withColumn(rank, within).alias("docs")
+    out = ranked.join(slots, (F.col(f"docs.{source}") == F.col(f"plan.{source}")) & (F.col(f"docs.{bucket}") == F.col(f"plan.{bucket}")))
+    at = F.col(f"plan.{first}") + F.col(f"docs.{rank}") - 1
+    number = F.floor(at / block).cast("long")
+    nth = number - F.floor(F.col(f"plan.{first}") / block) + 1
+    slot = F.element_at("plan.slots", nth.cast("int"))
+    columns = [number.alias("block"), slot.alias("slot"), (slot * block + at % block).alias("place")]
+    return out.select(*[F.col(f"docs.{c}") for c in kept], *columns)

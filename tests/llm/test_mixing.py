@@ -69,3 +69,35 @@ def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
         mixing.mix_sources(documents(spark, ["a", "b", "c"]))
+
+
+def drift(order, weights):
+    """The largest distance, in blocks, of any source from its exact share after any slot."""
+    total, taken, worst = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), Fraction(0)
+    for t, s in enumerate(order, 1):
+        taken[s] += 1
+        worst = max(worst, *(abs(taken[x] - Fraction(w) * t / total) for x, w in weights.items()))
+    return worst
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": Fraction(2, 10_000), "b": Fraction(9998, 10_000)}, {"a": 0.1, "b": 1 / 3, "c": 2.5}])
+def test_exact_targets_hold_over_many_frames(weights):
+    shares = mixing.whole_weights(weights)
+    order = mixing.Schedule(list(shares.values()), [30_000] * len(shares)).take(12_000)
+    names = list(shares)
+    assert drift([names[s] for s, _ in order], weights) < 1
+
+
+def test_a_schedule_goes_on_from_every_state():
+    weights, blocks = [7, 1, 30, 11, 2], [40, 3, 900, 55, 90]
+    whole = mixing.Schedule(weights, blocks).take(10**6)
+    assert len(whole) == sum(blocks)
+    parts = [mixing.Schedule(weights, blocks, *state).take(17) for state in mixing.states(weights, blocks, 17)]
+    assert [x for part in parts for x in part] == whole
+
+
+def test_mixture_keeps_to_exact_targets(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "if(id < 4000, 'a', 'b') as source")
+    got = mixing.mix_sources(docs, {"a": 1, "b": 2}, block=1).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(12_000))
+    assert drift([r.source for r in got], {"a": 1, "b": 2}) < 1
