@@ -38,7 +38,7 @@ def normal_words(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton over word ids, with the items that hold each state's strings."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.names = [name for name, _ in items]
         self.ids: dict[bytes, int] = {}
@@ -158,7 +158,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[SuffixAutom
     """
     part, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").cast("string").alias("t"))
-    for r in rows.where("k is not null and t is not null").toLocalIterator():
+    for r in rows.where("t is not null").toLocalIterator():
         words = normal_words(r.t)
         if not words:
             continue
@@ -208,7 +208,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish,
                     new, found = machine.hits(w) if machine else ([], set())
                     known = list(zip(old[k][::2], old[k][1::2], strict=True))
                     runs.append(merged(known + new) if known and new else known or new)
-                    items[k].update(machine.names[x] for x in found)
+                    items[k].update(machine.names[x] for x in found if machine.names[x] is not None)
                 source = pa.RecordBatch.from_arrays(batch.columns[:n], names=docs_names)
                 if last:
                     yield finish(source, words, runs, items)
@@ -235,7 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, items (sorted distinct item ids), spans (half-open word runs) of every row.
 
     A null or empty text has no words and no hits.  Repeated rows and ids are scored row by
-    row.  An empty benchmark, or items without words, hit nothing.  Other columns are ignored.
+    row.  An empty benchmark, or items without words, hit nothing.  An item with a null id hits
+    like any other (n_hit and spans), but has no id to add to items.  Other columns are ignored.
     """
 
     def score(batch: pa.RecordBatch, words: list, runs: list, items: list) -> pa.RecordBatch:
@@ -272,7 +273,7 @@ def decontaminate(
 
     The window is the length limit: matches of fewer words stay, unless they are a whole
     short item.  A document of which more than max_coverage of the words are hit goes altogether.
-    Rows without hits pass unchanged; n_chars, where present, follows the new text.
+    Items with a null id count.  Rows without hits pass unchanged; n_chars, where present, follows the new text.
     No shuffle: rows are filtered and rewritten as they stream by.
     """
     names = docs.columns

@@ -85,6 +85,18 @@ def test_decontaminate_cuts_spans_and_drops_covered_documents(spark):
     assert decontamination.decontaminate(docs, nothing).count() == 5
 
 
+def test_items_with_a_null_id_hit(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_WORDS_EACH", 20)
+    nameless, named = (" ".join(f"{w}{i}" for i in range(12)) for w in ("secret", "public"))
+    other = " ".join(f"plain{i}" for i in range(30))
+    docs = documents(spark, [f"{other} {nameless}", f"{nameless} {other} {named}", other, nameless])
+    bench = spark.createDataFrame([(None, nameless), (7, named), (None, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {0: (12, []), 1: (24, ["7"]), 2: (0, []), 3: (12, [])}
+    kept = {r.doc_id: r.text.strip() for r in decontamination.decontaminate(docs, bench).collect()}
+    assert kept == {0: other, 1: other, 2: other}
+
+
 def brute_edit(rows_in):
     """rows_in: (doc_id, text).  Plain LZ78 on both texts."""
     powers = fingerprints.Powers()
