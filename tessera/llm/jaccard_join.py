@@ -265,8 +265,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns kept, whose id is the smallest of its component; rows without id or words stay."""
+    """The rows of docs, all columns kept, whose id is the smallest of its component; rows without id or words stay.
+
+    Of rows that repeat both id and text one stays, any of them where other columns differ.
+    Different texts under one id are different documents that the id cannot tell apart: all
+    of them stay, or go, with the id, even where they are near copies of each other.
+    """
     gone = materialise(jaccard_join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    key, words = F.col("doc_id").cast("long"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    ids = docs.where(key.isNotNull() & words).groupBy(key.alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    twice = materialise(ids.where("__rows > 1").select("__id"), "twice")
+    if twice.isEmpty():
+        return kept
+    repeated = words & (key == F.col("__id"))
+    many = kept.join(twice.hint("shuffle_hash"), repeated, "left_semi")
+    # Partial aggregates leave one row a partition, so a row repeated any number of times is no large group.
+    one = many.groupBy(key.alias("__id"), F.sha2(F.col("text").cast("binary"), 256).alias("__text")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return kept.join(twice.hint("shuffle_hash"), repeated, "left_anti").unionByName(one.select("__row.*"))
 
 

@@ -74,3 +74,13 @@ def test_pruning_table():
     assert jj.least_matches(125, 0.8, 1e-5) < 100 * 0.95
     least = [jj.least_matches(n, 0.8, 1e-5) for n in (25, 50, 75, 100, 125)]
     assert least == sorted(least) and least[0] > 0
+
+
+def test_keep_one_of_each_of_repeated_rows(spark):
+    plain = lambda a: " ".join(f"w{a}x{k}" for k in range(40))
+    docs = clashing(documents(spark, [plain(1), plain(1) + " tail", plain(2), "", None]))
+    other = documents(spark, [plain(3)], start=2)
+    out = jj.keep_one_of_each(docs.unionAll(docs).unionAll(docs).unionAll(clashing(other)))
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert got == sorted([(0, plain(1)), (2, plain(2)), (2, plain(3))] + 3 * [(3, "")] + 3 * [(4, "")])
