@@ -214,6 +214,13 @@ def _(db):
     return q.select({"n_name": ("n_name", "char(25)"), "s_suppkey": ("s_suppkey", "any"), "c_custkey": ("c_custkey", "any")})
 
 
+@query("join_compound_whole", "select n_name, s_suppkey, c_custkey from nation, supplier, customer where n_nationkey = s_nationkey and s_nationkey = c_nationkey")
+def _(db):
+    q = db.query().fromTable("supplier").join(db.query().fromTable("customer"), method="nested-loops", expr="s_nationkey == c_nationkey")
+    q = db.query().fromTable("nation").join(q, method="nested-loops", expr="n_nationkey == s_nationkey and s_nationkey == c_nationkey")
+    return q.select({"n_name": ("n_name", "char(25)"), "s_suppkey": ("s_suppkey", "any"), "c_custkey": ("c_custkey", "any")})
+
+
 @query("join_semi_in_having", "select o_orderkey, o_totalprice from orders where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 200)")
 def _(db):
     large = db.table("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q")).where("q > 200")
