@@ -18,13 +18,15 @@ MIX_2 = U64(0x94D049BB133111EB)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is chosen.
+    Only where the session names none, and all runs on one machine (tests), a temporary folder is chosen.
     """
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(path)
     return path
@@ -47,15 +49,27 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The plan's size estimate; None where Spark knows nothing (it then says the largest long, or multiples)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def shuffle_partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Partitions for a custom exchange: the session's number, or more if the plan's size estimate asks for it.
+    """Partitions for a custom exchange: the session's number, or more if the plan's size estimate asks for it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, (estimated_bytes(df) or 0) // bytes_each)
+
 
-    Spark's estimate for tables it knows nothing about is the largest long; that is no estimate.
+def built(df: DataFrame, bytes_each: int = 64 << 20) -> DataFrame:
+    """df as the side that a hash join builds, if a shuffle partition's share of it is known to fit into bytes_each.
+
+    Such a table cannot spill.  Where the size is unknown or larger, df comes back without a
+    hint and Spark sorts and merges.  For tables with one row a key only.  Written tables are
+    compressed; four times their size is reckoned with.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if size >= 1 << 60 else max(n, min(size // bytes_each, 100_000))
+    size, n = estimated_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash") if size is not None and 4 * size <= n * bytes_each else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

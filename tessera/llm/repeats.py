@@ -10,7 +10,7 @@ anchor form a fragment, about one for every (W - k) / 2 units, and only fragment
    Of equal fragments all but the first lose every window;
 3. first fragments whose anchor also has *different* fragments (or, where a window may repeat
    its own document, occurs twice in the fragment itself) are contested: their
-   windows are compared one by one, which the calling operator does by its own method.
+   windows are compared by the calling operator's own method.
 
 No repeat is missed whatever the hash values; different contents are told apart by 128 bits,
 the anchor and the hash of the whole.  A third of all rows in one group shrinks to one row a
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix, odd_powers, release
+from tessera.llm.common import built, materialise, mix, odd_powers, release
 
 U64 = np.uint64
 BASE = 0xD1342543DE82EF95
@@ -146,6 +146,8 @@ def fragments(texts: list[bytes], scheme: Scheme, tables: Tables) -> dict[str, n
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else none
     start, windows = at[new], np.diff(np.append(new, len(at)))
     text = np.searchsorted(first, start, side="right") - 1
+    if scheme.gram == w:  # the anchor is the whole window: another hash tells contents apart
+        rolling = Rolling(mix(units), tables)
     return {
         "text": text,
         "start": start - first[text],
@@ -213,7 +215,7 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
         shared = counted.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shared = materialise(shared.select("anchor"), "anchors")
     every = docs.mapInArrow(rows, "anchor long, whole long, doc_id long, place long")
-    found = every.join(shared.hint("shuffle_hash"), "anchor")
+    found = every.join(built(shared), "anchor")
     place = F.col("place")
     start, windows = F.shiftright(place, 32).cast("int"), F.shiftright(place.bitwiseAND(0xFFFFFFFF), 1).cast("int")
     twice = place.bitwiseAND(1) == 1
@@ -223,14 +225,16 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return out
 
 
-def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
-    """Written table (doc_id, spans) with spans: (start, windows, anchor, kinds) of fragments to be cut or contested.
+#: What becomes of a fragment: every window repeats an earlier one; contested; contested, and it may repeat itself.
+SURE, CONTESTED, REPETITIVE = 0, 1, 2
+
 
-    found is deleted afterwards.
+def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
+    """Written table (doc_id, spans) with spans: (start, windows, anchor, kind) of fragments to be cut or contested.
 
-    kinds 0: every window of the fragment repeats an earlier one.  kinds of 2 or more: the
-    fragment is the first of its content, and its anchor has so many different fragments, or
-    occurs twice in it.
+    found is deleted afterwards.  A contested fragment is the first of its content, and its
+    anchor has other contents as well, or occurs twice in it.  Rows that repeat an id and a
+    text have equal spans, which are listed once.
     """
     if scheme.within:
         first = F.min(F.struct("doc_id", "start"))
@@ -243,16 +247,19 @@ def judged(found: DataFrame, scheme: Scheme) -> DataFrame:
     numbers = materialise(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     kinds = materialise(contents.join(numbers, "anchor"), "judged")
     release(contents, numbers)
-    spans = (
-        found.join(kinds, ["anchor", "whole"])
-        .select("doc_id", "start", "windows", "anchor", F.when(later, F.lit(0)).when((F.col("kinds") > 1) | F.col("twice"), F.greatest("kinds", F.lit(2)).cast("int")).alias("kinds"))
-        .where("kinds is not null")
-    )
-    out = materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "kinds")).alias("spans")), "spans")
+    kind = F.when(later, F.lit(SURE)).when(F.col("twice"), F.lit(REPETITIVE)).when(F.col("kinds") > 1, F.lit(CONTESTED))
+    spans = found.join(kinds, ["anchor", "whole"]).select("doc_id", "start", "windows", "anchor", kind.alias("kind")).where("kind is not null")
+    out = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "windows", "anchor", "kind")).alias("spans")), "spans")
     release(found, kinds)
     return out
 
 
+def spans_of_mask(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    return edge[::2], edge[1::2] - edge[::2]
+
+
 def runs_of_arrays(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     """Disjoint, maximal half-open runs, in order, that cover what half-open spans cover."""
     if not len(start):

@@ -47,7 +47,7 @@ def contested_windows(window: int):
                 for doc_id, text, spans in rows:
                     units, _ = word_units([text.encode("utf-8", "surrogatepass")], tables)
                     rolling = Rolling(units, tables)
-                    use = (spans["kinds"] > 0) & (spans["start"] + spans["windows"] + window - 1 <= len(units))
+                    use = (spans["kind"] > 0) & (spans["start"] + spans["windows"] + window - 1 <= len(units))
                     n = spans["windows"][use].astype(np.int64)
                     if not len(n):
                         continue

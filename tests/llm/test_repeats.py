@@ -95,7 +95,11 @@ def test_suffix_dedup_equals_brute_force(spark, seed, length, monkeypatch):
     vocabulary = ["a", "b", "ab", "é"] if seed else [f"w{i}" for i in range(300)]
     passages = [" ".join(rng.choices(vocabulary, k=rng.randint(length // 2, length))) for _ in range(5)]
     texts = edge_cases() + noisy(rng, 50, passages, vocabulary) + ["ab" * 60, "ab" * 90 + "c"]
-    monkeypatch.setattr(suffix_dedup, "HOT", 3 if seed else 256)
+    if seed:  # every group is large, every shard small
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 40)
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 64)
+        monkeypatch.setattr(suffix_dedup, "PIECE", 7)
+        monkeypatch.setattr(suffix_dedup, "SLICE", 33)
     docs = documents(spark, texts).repartition(6)
     got = sorted(map(tuple, suffix_dedup.dedup_report(clashing(docs), length).collect()))
     assert got == brute_bytes(list(enumerate(texts)), length)
@@ -109,6 +113,22 @@ def test_suffix_dedup_of_ties_and_missing_ids(spark):
     assert suffix_dedup.dedup_report(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_one_frequent_passage(spark):
+    """A passage of 90 bytes with 700 different surroundings, and pairs of equal surroundings."""
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdefgh ", k=90))
+    texts = [f"{rng.random()} {k % 350} {passage}{k % 175} {rng.random()}" for k in range(700)]
+    got = sorted(map(tuple, suffix_dedup.dedup_report(documents(spark, texts).repartition(5)).collect()))
+    assert got == brute_bytes(list(enumerate(texts)), 100) and sum(r[2] for r in got) > 10_000
+
+
+def test_suffix_dedup_of_long_periodic_texts_and_many_repeated_rows(spark):
+    long, odd = "abc" * 3_400_000, "".join(f"line {k % 7} of " for k in range(3000))
+    rows = [(1, long), (2, long[1:] + "end"), (3, odd), *[(4, odd + "x")] * 300]
+    got = {tuple(r)[:4] for r in suffix_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, len(long), len(long) - 3, 1), (2, len(long) + 2, len(long) - 1, 1), (3, len(odd), len(odd) - 70, 1), (4, len(odd) + 1, len(odd), 1)}
+
+
 @pytest.mark.parametrize("stride", [3, 256])
 def test_suffix_array_and_common_prefixes(stride, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRIDE", stride)
