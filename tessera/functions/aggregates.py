@@ -54,6 +54,14 @@ def builtin(initial: Any, step: Node, acc: Node, resolve: Callable[[str], Column
     return None
 
 
+def fold_key(initial: Any, step: Callable, finish: Callable) -> str:
+    """A text that tells folds apart: the seed and the traced functions."""
+    parts = list(initial) if isinstance(initial, (tuple, list)) else [initial]
+    accs = [Node("item", (Node("name", (ACC,)), k)) for k in range(len(parts))]
+    whole = Node("tuple", tuple(accs)) if isinstance(initial, (tuple, list)) else accs[0]
+    return f"{initial!r}, {trace(step, whole, RowProxy()).key()}, {trace(finish, whole).key()}"
+
+
 def fold(initial: Any, step: Callable, finish: Callable, resolve: Callable[[str], Column], fields: list[str]) -> Column:
     """The column of a fold; fields: the columns of a row, for folds that no built-in aggregate expresses."""
     parts = list(initial) if isinstance(initial, (tuple, list)) else [initial]
@@ -91,6 +99,3 @@ def fold(initial: Any, step: Callable, finish: Callable, resolve: Callable[[str]
 def _like(c: Column, sample: Any) -> Column:
     """Accumulators keep one type: numbers are doubles."""
     return c.cast("double") if isinstance(sample, (int, float)) and not isinstance(sample, bool) else c
-
-
-

@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINARY = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.FloorDiv: "//", ast.Mod: "%", ast.Pow: "**"}
 COMPARE = {ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">="}
@@ -216,9 +217,47 @@ def _mod(a: Column, b: Column, divisor: Node) -> Column:
     return ((a % b) + b) % b  # the sign of the divisor, as in Python
 
 
-def truth(c: Column) -> Column:
-    """Booleans as they are, numbers true unless zero."""
-    return c.cast("boolean")
+BOOLEAN = {"==", "!=", "<", "<=", ">", ">=", "and", "or", "not"}
+
+
+def kind_of(c: Column, tree: Node, resolve: Callable) -> T.DataType | None:
+    """The type of a column, where resolve comes with a relation that can tell it."""
+    if tree.op in BOOLEAN:
+        return T.BooleanType()
+    kind = getattr(resolve, "kind", None)
+    return kind(c) if kind else None
+
+
+def truth(c: Column, kind: T.DataType | None = None) -> Column:
+    """Booleans as they are; numbers are true unless zero, strings unless empty."""
+    if isinstance(kind, T.BooleanType):
+        return c
+    if isinstance(kind, T.StringType):
+        return F.length(c) > 0
+    return c.cast("boolean") if kind is None else c != 0
+
+
+def floor_quotient(a: Column, b: Column, whole: bool) -> Column:
+    """a // b; whole numbers are divided as such, whatever their size."""
+    if not whole:
+        return F.floor(a / b)
+    quotient = F.call_function("div", a, b)
+    return F.when((a % b != 0) & ((a < 0) != (b < 0)), quotient - 1).otherwise(quotient)
+
+
+def power(a: Column, tree: Node, whole: bool) -> Column | None:
+    """a ** b for a whole number and a small literal power, which stays whole; None for others."""
+    exponent = tree.args[0] if tree.op == "lit" else None
+    if not (whole and isinstance(exponent, int) and not isinstance(exponent, bool) and 0 <= exponent <= 64):
+        return None
+    out, square = F.lit(1).cast("long"), a.cast("long")
+    while exponent:
+        if exponent & 1:
+            out = out * square
+        exponent >>= 1
+        if exponent:
+            square = square * square
+    return out
 
 
 CALLS: dict[str, Callable[..., Column]] = {
@@ -227,7 +266,6 @@ CALLS: dict[str, Callable[..., Column]] = {
     "str": lambda x: x.cast("string"),
     "float": lambda x: x.cast("double"),
     "int": lambda x: F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("long"),
-    "bool": lambda x: x.cast("boolean"),
     "hash": lambda *x: F.xxhash64(*x),
     "min": lambda *x: F.least(*x),
     "max": lambda *x: F.greatest(*x),
@@ -238,23 +276,27 @@ OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     "-": lambda a, b: a - b,
     "*": lambda a, b: a * b,
     "/": lambda a, b: a.cast("double") / b.cast("double"),
-    "//": lambda a, b: F.floor(a / b),
-    "**": lambda a, b: F.pow(a, b),
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
     "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b,
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
-    "and": lambda a, b: truth(a) & truth(b),
-    "or": lambda a, b: truth(a) | truth(b),
 }
 
 
 def column(tree: Node, resolve: Callable[[str], Column]) -> Column:
-    """The Spark column of a tree; resolve gives the column of a name."""
+    """The Spark column of a tree; resolve gives the column of a name, and by its attribute kind the type of a column."""
     c = lambda x: column(x, resolve)
     op, args = tree.op, tree.args
+
+    def true(x: Node) -> Column:
+        value = c(x)
+        return truth(value, kind_of(value, x, resolve))
+
+    def whole(*nodes: Node) -> bool:
+        return all(isinstance(kind_of(c(x), x, resolve), T.IntegralType) for x in nodes)
+
     if op == "lit":
         return F.lit(args[0])
     if op == "name":
@@ -266,9 +308,17 @@ def column(tree: Node, resolve: Callable[[str], Column]) -> Column:
     if op == "neg":
         return -c(args[0])
     if op == "not":
-        return ~truth(c(args[0]))
+        return ~true(args[0])
+    if op in ("and", "or"):
+        a, b = map(true, args)
+        return a & b if op == "and" else a | b
     if op == "if":
-        return F.when(truth(c(args[0])), c(args[1])).otherwise(c(args[2]))
+        return F.when(true(args[0]), c(args[1])).otherwise(c(args[2]))
+    if op == "//":
+        return floor_quotient(c(args[0]), c(args[1]), whole(*args))
+    if op == "**":
+        exact = power(c(args[0]), args[1], whole(args[0]))
+        return F.pow(c(args[0]), c(args[1])) if exact is None else exact
     if op == "tuple":
         return F.struct(*[c(a).alias(f"f{k}") for k, a in enumerate(args)])
     if op == "%":
@@ -277,6 +327,8 @@ def column(tree: Node, resolve: Callable[[str], Column]) -> Column:
         if args[0] == "round":
             digits = args[2].args[0] if len(args) > 2 else 0
             return F.bround(c(args[1]), digits)
+        if args[0] == "bool":
+            return true(args[1])
         if args[0] not in CALLS:
             raise ExpressionError(f"unknown function {args[0]}")
         return CALLS[args[0]](*map(c, args[1:]))

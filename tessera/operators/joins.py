@@ -14,17 +14,25 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits_partitions(df: DataFrame) -> bool:
+    """Whether a shuffle partition's share of df is known to be small enough for a hash table, which cannot spill."""
+    return estimated_bytes(df) <= BROADCAST_BYTES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def hinted(right: DataFrame, method: str, equi: bool) -> DataFrame:
     """The inner side with the hint of a method.
 
     Block nested loops and indexed joins keep the inner side at every task, so they
     broadcast it, but only where it is estimated to be small; otherwise Spark partitions
-    an equi join, and a theta join becomes a partitioned product.
+    an equi join, and a theta join becomes a partitioned product.  The inner side of nested loops
+    over a theta join goes the same way.  A hash table is asked for where it fits a task.
     """
     if method == "hash":
-        return right.hint("shuffle_hash") if equi else right
-    if method in ("block-nested-loops", "indexed"):
-        return right.hint("broadcast") if estimated_bytes(right) <= BROADCAST_BYTES else right
+        return right.hint("shuffle_hash") if equi and fits_partitions(right) else right
+    if method == "nested-loops" and equi:
+        return right
+    if estimated_bytes(right) <= BROADCAST_BYTES:
+        return right.hint("broadcast")
     return right if equi else right.hint("shuffle_replicate_nl")
 
 

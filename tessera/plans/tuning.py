@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 
-from tessera.plans.builder import Plan
+from tessera.plans.builder import Operator, Plan
 from tessera.plans.statistics import analyze
 
 
@@ -27,15 +29,17 @@ class Tuning:
             key = n.lower()
             if key not in self.plain:
                 self.plain[key] = self.database.views.get(key)
-                self.database.views[key] = self.database.table(n).persist()
+                self.database.register(key, self.database.table(n).persist())
 
     def on_disk(self, *names: str) -> None:
         for n in names:
             key = n.lower()
             if key in self.plain:
-                self.database.views.pop(key).unpersist()
+                self.database.views[key].unpersist()
                 if (old := self.plain.pop(key)) is not None:
-                    self.database.views[key] = old
+                    self.database.register(key, old)
+                else:
+                    self.database.unregister(key)
 
     def parallelism(self, degree: int) -> None:
         """Shuffle partitions of the queries that follow."""
@@ -48,23 +52,35 @@ class Tuning:
     def index(self, name: str, *fields: str) -> int:
         return self.database.createIndex(name, list(fields))
 
-    @staticmethod
-    def normal(query: str | Plan) -> str:
+    def key_of(self, query: str | Plan) -> str:
+        """What a query's result is kept under: its exact plan, or its text and the files that it reads."""
         if isinstance(query, Plan):
             return query.getPlanKey()
-        return re.sub(r"\s+", " ", query.strip().rstrip(";")).lower()
+        files = sorted(self.database.spark.sql(query).inputFiles())
+        text = re.sub(r"\s+", " ", query.strip().rstrip(";")).lower()
+        return f"{text} {hashlib.sha256(chr(10).join(files).encode()).hexdigest()}"
 
     def materialize(self, query: str | Plan, name: str) -> DataFrame:
-        """Write the result of a query and answer the same query from it."""
+        """Write the result of a query, to answer that query, and plans that contain it, from there.
+
+        A view holds for the relations as they are; after a change it answers nothing until
+        it is materialised again.
+        """
         df = query.df if isinstance(query, Plan) else self.database.spark.sql(query)
-        path = f"{self.database.folder}/view-{name}"
-        df.write.mode("overwrite").parquet(path)
-        self.database.materialized[self.normal(query)] = self.database.spark.read.schema(df.schema).parquet(path)
-        return self.database.materialized[self.normal(query)]
+        key, path = self.key_of(query), f"{self.database.folder}/view-{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.database.materialized[key] = self.database.spark.read.schema(df.schema).parquet(path)
+        return self.database.materialized[key]
 
     def answer(self, query: str | Plan) -> DataFrame:
-        """The materialised result of a query if there is one, else the query."""
-        known = self.database.materialized.get(self.normal(query))
+        """The query's rows, with every part of it that is materialised read from its view."""
+        if isinstance(query, Plan):
+            return self._rewritten(query.root).df
+        known = self.database.materialized.get(self.key_of(query)) if self.database.materialized else None
+        return self.database.spark.sql(query) if known is None else known
+
+    def _rewritten(self, op: Operator) -> Operator:
+        known = self.database.materialized.get(op.key())
         if known is not None:
-            return known
-        return query.df if isinstance(query, Plan) else self.database.spark.sql(query)
+            return Operator("TableScan", [], known, "materialised view")
+        return op.over([self._rewritten(i) for i in op.inputs])

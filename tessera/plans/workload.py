@@ -31,16 +31,17 @@ def access_order(df: DataFrame, key: list[str], mode: int, seed: int = 7) -> Dat
 
 
 def row_numbers(df: DataFrame, key: list[str], name: str = "position") -> DataFrame:
-    """Numbers from 0 in the order of key, by buckets of the first key's quantiles: no window over the whole table."""
-    first = key[0]
-    quantiles = sorted({float(x) for x in df.approxQuantile(first, [k / 16 for k in range(1, 16)], 0.01)})
-    bucket = F.lit(0)
-    for q in quantiles:
-        bucket = bucket + F.when(F.col(first) >= q, 1).otherwise(0)
-    dealt = df.withColumn("__bucket", bucket)
+    """Numbers from 0 in the order of key, by buckets of the first key's quantiles: no window over the whole table.
+
+    There are as many buckets as shuffle partitions, so they shrink as a cluster grows.
+    """
+    first, n = key[0], max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = sorted({float(x) for x in df.approxQuantile(first, [k / n for k in range(1, n)], 0.2 / n)})
+    bounds = F.array(*[F.lit(q) for q in quantiles]) if quantiles else F.array().cast("array<double>")
+    dealt = df.withColumn("__bucket", F.size(F.filter(bounds, lambda q: F.col(first) >= q)))
     counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__bucket", before.alias("__before"))  # one row a bucket, sixteen at most
+    offsets = counts.select("__bucket", before.alias("__before"))  # one row a bucket
     within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*key)) - 1
     return dealt.withColumn("__at", within).join(F.broadcast(offsets), "__bucket").withColumn(name, F.col("__before") + F.col("__at")).drop("__bucket", "__at", "__before")
 

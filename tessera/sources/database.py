@@ -19,6 +19,9 @@ from tessera.functions.types import parse_type
 from tessera.plans.builder import Plan, Query, condition, resolver
 from tessera.plans.schema import Schema
 
+#: Rows that a relation is taken to have if Spark cannot tell its size.
+UNKNOWN_ROWS = 1e6
+
 
 class Database:
     def __init__(self, spark: SparkSession, dataDir: str | None = None):  # noqa: N803
@@ -27,7 +30,8 @@ class Database:
         self.catalog: dict = {"relations": {}, "indexes": {}, "next": 1}
         self.views: dict[str, DataFrame] = {}
         self.materialized: dict[str, DataFrame] = {}
-        self._stats: dict[str, tuple[str, dict]] = {}
+        self._registered: dict[str, int] = {}
+        self._stats: dict[tuple, object] = {}
         from tessera.plans.optimizer import Optimizer
 
         self.optimizer = Optimizer(self)
@@ -61,6 +65,18 @@ class Database:
     def register(self, name: str, df: DataFrame) -> None:
         """A read-only relation over any DataFrame, such as a Parquet source."""
         self.views[name.lower()] = df
+        self._registered[name.lower()] = self._registered.get(name.lower(), 0) + 1
+
+    def unregister(self, name: str) -> None:
+        """Take a registered relation away; a catalog relation of that name shows again."""
+        del self.views[name.lower()]
+        self._registered[name.lower()] += 1
+
+    def state(self, name: str) -> str:
+        """What the present rows of a relation are called: another text after every change."""
+        key, entry = name.lower(), self.catalog["relations"].get(name.lower())
+        registered = f"r{self._registered.get(key, 0)}"
+        return registered if key in self.views or entry is None else f"{registered} v{entry['version']}.{entry.get('changes', 0)}"
 
     def relations(self) -> list[str]:
         return sorted({*self.views, *self.catalog["relations"]})
@@ -84,7 +100,9 @@ class Database:
     def removeRelation(self, name: str) -> None:  # noqa: N802
         if not self.hasRelation(name):
             raise ValueError(f"no relation {name}")
-        if self.views.pop(name.lower(), None) is None:
+        if name.lower() in self.views:
+            self.unregister(name)
+        else:
             del self.catalog["relations"][name.lower()]
             self.catalog["indexes"] = {k: v for k, v in self.catalog["indexes"].items() if v["relation"] != name.lower()}
             system, path = self._path(name.lower())
@@ -113,7 +131,8 @@ class Database:
         for index in self.catalog["indexes"].values():
             if index["relation"] == name.lower():
                 index["fresh"] = False
-        self._stats.pop(name.lower(), None)
+        entry = self.catalog["relations"][name.lower()]
+        entry["changes"] = entry.get("changes", 0) + 1
         self.checkpoint()
 
     # DML.
@@ -131,9 +150,9 @@ class Database:
         self.insertTuples(name, [row])
 
     def deleteWhere(self, name: str, expression: str) -> None:  # noqa: N802
-        """Delete the rows for which the expression is true."""
+        """Delete the rows for which the expression is true; where it is unknown (NULL) they stay."""
         df = self.table(name)
-        self._write(df.filter(~condition(df, parse(expression))), name)
+        self._write(df.filter(~F.coalesce(condition(df, parse(expression)), F.lit(False))), name)
 
     def updateWhere(self, name: str, changes: dict[str, str], expression: str = "True") -> None:  # noqa: N802
         """Set fields to expressions of the old row where the expression is true."""
@@ -158,6 +177,44 @@ class Database:
         df = self.table(name)
         self._write(df.filter(~self._key_equals(df, fields, key)), name)
 
+    # Tuples by id: the file of the present version that holds a row, and its place there.
+
+    def withTupleIds(self, name: str) -> DataFrame:  # noqa: N802
+        """The relation with ``tuple_id``; ids hold until rows are updated or deleted, appends keep them."""
+        if name.lower() not in self.catalog["relations"] or name.lower() in self.views:
+            raise ValueError(f"{name} is not a catalog relation")
+        where = F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string"))
+        return self.table(name).select("*", where.alias("tuple_id"))
+
+    def _tuple(self, name: str, tuple_id: str) -> tuple[DataFrame, Column]:
+        file, _, place = tuple_id.rpartition(":")
+        if not file or not place.isdigit():
+            raise ValueError(f"not a tuple id: {tuple_id!r}")
+        here = (F.col("_metadata.file_name") == file) & (F.col("_metadata.row_index") == int(place))
+        if self.table(name).filter(here).isEmpty():
+            raise ValueError(f"no tuple {tuple_id}")
+        return self.withTupleIds(name), F.col("tuple_id") == tuple_id
+
+    def getTuple(self, name: str, tuple_id: str) -> Row:  # noqa: N802
+        """The row of an id; the file's name prunes the scan."""
+        df, here = self._tuple(name, tuple_id)
+        return df.filter(here).drop("tuple_id").head()
+
+    def deleteTuple(self, name: str, tuple_id: str) -> None:  # noqa: N802
+        df, here = self._tuple(name, tuple_id)
+        self._write(df.filter(~here).drop("tuple_id"), name)
+
+    def updateTuple(self, name: str, tuple_id: str, row) -> None:  # noqa: N802
+        df, here = self._tuple(name, tuple_id)
+        schema = self.relationSchema(name)
+        new = schema.instantiate(*row)
+        columns = [F.when(here, F.lit(v)).otherwise(F.col(f)).alias(f) for f, v in zip(schema.fields, new, strict=True)]
+        self._write(schema.conform(df.select(*columns)), name)
+
+    def clearTuple(self, name: str, tuple_id: str) -> None:  # noqa: N802
+        """Set the row of an id to the default values of its fields."""
+        self.updateTuple(name, tuple_id, self.relationSchema(name).default())
+
     # Indexes: a sorted copy, brought up to date when it is next read.
 
     def createIndex(self, name: str, fields: list[str], primary: bool = False) -> int:  # noqa: N802
@@ -205,6 +262,13 @@ class Database:
     def indexFields(self, number: int) -> list[str]:  # noqa: N802
         return list(self.catalog["indexes"][str(number)]["fields"])
 
+    def indexRelation(self, number: int) -> str:  # noqa: N802
+        return self.catalog["indexes"][str(number)]["relation"]
+
+    def scanIndex(self, number: int) -> DataFrame:  # noqa: N802
+        """The rows of an indexed relation from the index's copy, in no order."""
+        return self._indexed(number)
+
     def matchIndex(self, name: str, fields: list[str]) -> int | None:  # noqa: N802
         for k, v in self.catalog["indexes"].items():
             if v["relation"] == name.lower() and v["fields"] == fields:
@@ -216,9 +280,10 @@ class Database:
             raise ValueError(f"no index {number}")
         index = self.catalog["indexes"][str(number)]
         path = f"{self.folder}/index-{number}/b"
-        if not index["fresh"]:
+        if not index["fresh"] or index.get("state") != self.state(index["relation"]):
             index["build"] += 1
             df, fields = self.table(index["relation"]), index["fields"]
+            index["state"] = self.state(index["relation"])
             # Sorted ranges: each file and row group covers few keys, so readers skip the others.
             df.repartitionByRange(*fields).sortWithinPartitions(*fields).write.mode("overwrite").parquet(f"{path}{index['build']}")
             index["fresh"] = True
@@ -263,15 +328,47 @@ class Database:
 
     # Statistics.
 
+    def _known(self, name: str, what: str, find):
+        """find(), remembered for the present rows of a relation."""
+        key = (name.lower(), self.state(name), what)
+        if key not in self._stats:
+            self._stats[key] = find()
+        return self._stats[key]
+
     def statistics(self, name: str) -> dict:
-        """rows, files and estimated bytes of a relation; counted once for each version."""
-        known = self._stats.get(name.lower())
-        if known is None:
+        """rows, files and estimated bytes of a relation; counted once for each state of it."""
+
+        def count() -> dict:
             df = self.table(name)
             size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            known = ("", {"rows": df.count(), "files": len(df.inputFiles()), "bytes": size})
-            self._stats[name.lower()] = known
-        return known[1]
+            return {"rows": df.count(), "files": len(df.inputFiles()), "bytes": size}
+
+        return self._known(name, "rows", count)
+
+    def histogram(self, name: str, field: str) -> list[tuple[float, float, int]]:
+        """(low, high, rows) of the equi-width buckets of a numeric field, counted once for each state."""
+        from tessera.plans.statistics import equi_width_histogram
+
+        return self._known(name, f"histogram {field.lower()}", lambda: sorted((r.low, r.high, r.n) for r in equi_width_histogram(self.table(name), field).collect()))
+
+    def knownHistogram(self, name: str, field: str) -> list[tuple[float, float, int]] | None:  # noqa: N802
+        return self._stats.get((name.lower(), self.state(name), f"histogram {field.lower()}"))
+
+    def estimatedRows(self, name: str) -> float:  # noqa: N802
+        """Rows without running anything: the count if it is known, Spark's statistics, or bytes by the width of a row."""
+        known = self._stats.get((name.lower(), self.state(name), "rows"))
+        if known is not None:
+            return float(known["rows"])
+
+        def guess() -> float:
+            df = self.table(name)
+            stats = df._jdf.queryExecution().optimizedPlan().stats()
+            if stats.rowCount().isDefined():
+                return float(str(stats.rowCount().get()))
+            size = int(str(stats.sizeInBytes()))
+            return max(1.0, size / df._jdf.schema().defaultSize()) if size < 1 << 60 else UNKNOWN_ROWS
+
+        return self._known(name, "guess", guess)
 
     def type_of(self, name: str, field: str):
         return parse_type(dict(self.relationSchema(name).schema())[field])

@@ -112,11 +112,12 @@ def test_order_is_descending(db):
 def test_plan_introspection(db, other):
     join = employees(db).join(employees(db), rhsSchema=other, method="nested-loops", expr="id == id2")
     plan = join.where("age < 40").finalize()
-    assert plan.relations() == ["employee", "employee"] and len(plan.joins()) == 1 and plan.joinBeforeUnion()
+    assert plan.relations() == ["employee", "employee"] and len(plan.joins) == 1 and plan.joinBeforeUnion == plan.joins
     assert plan.explain().splitlines()[0].startswith("Select") and [op.kind for _, op in plan.flatten()][:2] == ["Select", "Join"]
-    assert len(plan.sources()) == 2 and len(plan.joinSources()) == 2 and plan.cost() > 0
+    assert [op.kind for op in plan.sources] == ["TableScan", "Rename"] and plan.joinSources == plan.sources
+    assert plan.cost(estimated=True) > 0 and plan.cost(estimated=False) == 20 + 20 + 20 + 40 + 20
     union = employees(db).union(employees(db)).finalize()
-    assert len(union.unions()) == 1 and not union.joinBeforeUnion() and union.sources() == union.unions()
+    assert len(union.unions) == 1 and union.joinBeforeUnion == [] and union.joinSources == union.unions and len(union.sources) == 2
     assert plan.getPlanKey() == join.where("age < 40").finalize().getPlanKey()
     assert union.sample(1.0) == 40
 
@@ -245,3 +246,118 @@ def test_tpch_relations(spark, tmp_path):
     assert db.table("orders").where("o_orderdate = 19960102").count() == 400
     tpch.load(spark, db, str(tmp_path), 0.5, names=["orders"])
     assert 120 < db.table("orders").count() < 280
+
+
+def test_plan_keys_tell_expressions_apart(db):
+    def grouped(what):
+        return employees(db).groupBy(groupSchema=Schema("g", [("one", "int")]), aggSchema=Schema("a", [("v", "int")]), groupExpr=lambda e: 1, aggExprs=[(what, "age")]).finalize()
+
+    db.setOptimizer(optimizer.Optimizer)
+    assert [db.optimizeQuery(grouped(w)).df.head().v for w in ("min", "max")] == [20, 58]
+    folds = [(0, lambda acc, e: acc + e.age, lambda x: x), (0, lambda acc, e: acc + e.id, lambda x: x)]
+    keys = {employees(db).groupBy(groupSchema=Schema("g", [("one", "int")]), aggSchema=Schema("a", [("v", "int")]), groupExpr=lambda e: 1, aggExprs=[f]).finalize().getPlanKey() for f in folds}
+    assert len(keys) == 2
+    orders = [employees(db).order(lambda e: e.age, "key"), employees(db).order(lambda e: -e.age, "key"), employees(db).order(lambda e: e.age, "key", False)]
+    assert len({q.finalize().getPlanKey() for q in orders}) == 3
+    plan = grouped("min")
+    assert db.optimizer.getPlanCost(plan) == plan.cost() and plan.getPlanKey() in db.optimizer.costs
+
+
+def test_plans_and_views_follow_changes(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}")
+    db.createRelation("t", [("id", "int"), ("v", "int")])
+    db.insertTuples("t", [(1, 10), (2, 20)])
+    tuned, plan = tuning.Tuning(db), db.query().fromTable("t").where("v > 0").finalize()
+    best = db.optimizeQuery(plan)
+    tuned.materialize(plan, "all")
+    db.table("t").createOrReplaceTempView("t_view")
+    tuned.materialize("select * from t_view where v > 0", "text")
+    assert "view-all" in tuned.answer(plan).inputFiles()[0] and "view-text" in tuned.answer("SELECT * from t_view  where v > 0;").inputFiles()[0]
+    above = db.query().fromTable("t").where("v > 0").where("id == 2").finalize()
+    assert "view-all" in tuned.answer(above).inputFiles()[0] and tuned.answer(above).count() == 1
+    for change, n in ((lambda: db.insertTuple("t", (3, 30)), 3), (lambda: db.deleteWhere("t", "id == 1"), 2), (lambda: db.updateWhere("t", {"v": "-v"}, "id == 2"), 1)):
+        change()
+        db.table("t").createOrReplaceTempView("t_view")
+        assert tuned.answer(plan).count() == best.df.count() == db.optimizeQuery(plan).df.count() == len(list(plan)) == n
+        assert tuned.answer("select * from t_view where v > 0").count() == n
+    tuned.materialize(plan, "all")
+    assert "view-all" in tuned.answer(plan).inputFiles()[0] and tuned.answer(plan).count() == 1
+
+
+def test_unknown_predicates_delete_nothing(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}")
+    db.createRelation("t", [("id", "int")])
+    db.insertTuples("t", [(i,) for i in range(5)])
+    db.deleteWhere("t", "None if id < 3 else id == 4")
+    assert sorted(r.id for r in db.table("t").collect()) == [0, 1, 2, 3]
+
+
+def test_tuple_ids(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}")
+    db.createRelation("t", [("id", "int"), ("s", "char(3)")])
+    db.insertTuples("t", [(i, "x") for i in range(40)])
+    ids = {r.id: r.tuple_id for r in db.withTupleIds("t").collect()}
+    assert len(set(ids.values())) == 40 and db.getTuple("t", ids[7]) == (7, "x")
+    db.updateTuple("t", ids[7], (107, "long"))
+    assert sorted(r.id for r in db.table("t").collect())[-1] == 107 and db.table("t").where("s = 'lon'").count() == 1
+    ids = {r.id: r.tuple_id for r in db.withTupleIds("t").collect()}
+    db.deleteTuple("t", ids[107])
+    assert db.table("t").count() == 39
+    for bad in ("nothing", ids[107] + "9999", "x:y"):
+        with pytest.raises(ValueError):
+            db.getTuple("t", bad)
+
+
+def test_join_costs_and_histograms(db, other):
+    def join(method, expr):
+        return employees(db).join(employees(db), rhsSchema=other, method=method, expr=expr).finalize().cost()
+
+    assert join("nested-loops", "id < id2") > join("block-nested-loops", "id < id2") > 0
+    half = employees(db).where("age < 40").finalize()
+    db.histogram("employee", "age"), db.statistics("employee")
+    assert optimizer.Costs(db).rows(half.root) == pytest.approx(10, abs=1) and optimizer.Costs(db, False).rows(half.root) == 10
+
+
+def test_indexed_join_reads_the_index(db, other):
+    number = db.matchIndex("employee", ["id"]) or db.createIndex("employee", ["id"])
+    q = employees(db).join(employees(db), rhsSchema=other, method="indexed", indexId=number, lhsKeySchema=Schema("k", [("id", "int")]), rhsKeySchema=Schema("k", [("id2", "int")]))
+    assert q.finalize().df.count() == 20 and any(f"index-{number}" in f for f in q.finalize().df.inputFiles())
+
+
+@pytest.mark.parametrize("strategy", [optimizer.Optimizer, optimizer.BushyOptimizer, optimizer.GreedyOptimizer])
+def test_join_order_of_two_unconnected_pairs(spark, strategy):
+    db = Database(spark)
+    for name in "abcd":
+        db.register(name, spark.createDataFrame([(i, i % 3) for i in range(6)], f"{name}1 int, {name}2 int"))
+    scan = lambda x: db.query().fromTable(x)
+    one, two = (scan(x).join(scan(y), method="nested-loops", expr=f"{x}1 == {y}1") for x, y in ("ab", "cd"))
+    plan = one.join(two, method="nested-loops", expr="True").finalize()
+    db.setOptimizer(strategy)
+    assert sorted(db.optimizeQuery(plan).df.collect()) == sorted(plan.df.collect()) and plan.df.count() == 36
+
+
+def test_string_truth_and_mixed_order(spark):
+    db = Database(spark)
+    db.register("t", spark.createDataFrame([(0, ""), (1, "a"), (2, ""), (3, "b"), (4, "a")], "x int, t string"))
+    q = db.query().fromTable("t")
+    assert [sorted(r.x for r in q.where(e).finalize()) for e in ("t", "t and x > 1", "not t", "x or t", "bool(t)")] == [[1, 3, 4], [3, 4], [0, 2], [1, 2, 3, 4], [1, 3, 4]]
+    assert [r.x for r in q.order(lambda e: (e.t, e.x), "t, x", descending=[False, True]).finalize()] == [2, 0, 4, 1, 3]
+    with pytest.raises(ValueError):
+        q.order(lambda e: (e.t, e.x), "t, x", descending=[False])
+
+
+def test_fixed_records_in_ranges(spark, tmp_path):
+    from tessera.sources import files
+
+    path, n = f"file://{tmp_path}/fixed", 5000
+    df = spark.range(n).selectExpr("cast(id as int) i", "concat('n', id) s", "cast(id / 8 as float) f").repartition(3)
+    files.write_fixed(df, path, "i6sf")
+    assert sorted(x.name[-4:] for x in tmp_path.joinpath("fixed").iterdir() if x.name[0] != ".") == [".bin"] * 3
+    got = files.read_fixed(spark, path, "i6sf", ["i", "s", "f"], range_bytes=4000)
+    assert got.rdd.getNumPartitions() > 3 and sorted(map(tuple, got.collect())) == [(i, f"n{i}", i / 8) for i in range(n)]
+    with pytest.raises(Exception, match="NULL"):
+        files.write_fixed(spark.sql("select cast(null as int) i"), path + "2", "i")
+    assert files.read_fixed(spark, path + "2", "i", ["i"]).count() == 0
+    (tmp_path / "broken.bin").write_bytes(b"12345")
+    with pytest.raises(ValueError):
+        files.read_fixed(spark, str(tmp_path / "broken.bin"), "i", ["i"])

@@ -35,6 +35,14 @@ def test_compiled_equals_python(numbers, text):
             assert value == pytest.approx(expected, abs=1e-9), (text, a, b, x, s)
 
 
+def test_whole_numbers_stay_whole(spark):
+    values = [9007199254740993, -9007199254740993, 7, -7, 0, 2**62]
+    df = spark.createDataFrame([(v,) for v in values], "a long")
+    for text in ("a // 1", "a // 7", "a // -7", "a // 1000003", "(a % 1000) ** 3", "a % 7"):
+        got = [r[0] for r in df.select(column(parse(text), resolver(df))).collect()]
+        assert got == [eval(text, {"a": a}) for a in values] and all(isinstance(x, int) for x in got)  # noqa: S307 - the oracle
+
+
 @pytest.mark.parametrize("text", ["__import__('os')", "a.b", "lambda: 1", "a +", "open('x')", "[a for a in b]", "a in b", "a is None"])
 def test_other_syntax_is_refused(numbers, text):
     _, df = numbers
