@@ -1,6 +1,8 @@
 """The string-kernel machine: kernel by enumeration, held-out accuracy, edge cases."""
 
 import itertools
+import random
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +41,89 @@ def test_spaced_letters_are_one_word():
     assert "stupid" in toxicity.words_of("so s t u p i d indeed") and "moron" in toxicity.words_of("a  M.o.r.o.n x") | {"moron"}
 
 
+def brute_spelt(text):
+    """Spelt words by looking at every pair of ends."""
+    text, sep = text.lower(), set(" \t\n.*_-")
+    found, at = set(), 0
+    while at < len(text):
+        best = None
+        if at == 0 or text[at - 1].isspace():
+            k, letters = at, ""
+            while k < len(text) and text[k] not in sep:
+                letters += text[k]
+                if (k + 1 == len(text) or text[k + 1].isspace()) and len(letters) > 3:
+                    best = (k + 1, letters)
+                j = k + 1
+                while j < len(text) and text[j] in sep:
+                    j += 1
+                if j == k + 1:
+                    break
+                k = j
+        if best:
+            found.add(best[1])
+            at = best[0]
+        else:
+            at += 1
+    return found
+
+
+def test_spelt_words_equal_brute_force_and_take_no_time():
+    rng = random.Random(0)
+    for _ in range(3000):
+        text = "".join(rng.choices("ab .-_\n", [3, 3, 4, 2, 1, 1, 1], k=rng.randint(0, 25)))
+        assert toxicity.words_of(text) == set(text.split()) | brute_spelt(text), text
+    began = time.time()
+    for unit in ("_", "_ ", "a_", "a. ", ". ", "a ", "a" * 4, "a-b "):
+        toxicity.words_of(unit * 100_000 + "title word")
+        toxicity.words_of("x" + unit * 100_000 + "title")
+    assert time.time() - began < 8
+
+
+def exact_machine(words, y, cost):
+    """A squared-hinge machine on exact kernels, by its optimality conditions on the active set."""
+    k = np.array([[brute_kernel(a, b) for b in words] for a in words])
+    active = np.ones(len(words), dtype=bool)
+    for _ in range(100):
+        n = active.sum()
+        # alpha = 2 cost (y - f) on the active set; the bias has a ridge of 1e-3.
+        system = np.zeros((n + 1, n + 1))
+        system[:n, :n] = k[np.ix_(active, active)] + np.diag(1 / (2 * cost[active]))
+        system[:n, n], system[n, :n], system[n, n] = 1, 1, -1e-3
+        solved = np.linalg.solve(system, np.append(y[active], 0))
+        alpha = np.zeros(len(words))
+        alpha[active] = solved[:n]
+        f = k @ alpha + solved[n]
+        new = y * f < 1
+        if (new == active).all():
+            break
+        active = new
+    return alpha, solved[n]
+
+
+def test_machine_with_all_words_as_landmarks_is_the_exact_one():
+    positive, negative = ["stupid", "stuupid", "moron", "m0ronic"], ["student", "moran", "lamp", "window", "statue", "study", "more"]
+    weight = {"stupid": 3.0, "moron": 2.0}
+    model = toxicity.nystroem_machine(positive, negative, weight)
+    cost = np.array([weight.get(p, 1.0) for p in positive] + [1.0] * len(negative))
+    n = len(cost)
+    cost[: len(positive)] *= 0.5 * n / cost[: len(positive)].sum()
+    cost[len(positive) :] *= 0.5 * n / len(negative)
+    words = positive + negative
+    alpha, bias = exact_machine(words, np.array([1.0] * len(positive) + [-1.0] * len(negative)), toxicity.COST * cost)
+    for w in [*words, "st.upid", "morons", "tree", "stupidly"]:
+        exact = sum(a * brute_kernel(v, w) for a, v in zip(alpha, words, strict=True)) + bias
+        assert np.isclose(model.values([w])[0], exact, atol=2e-3), w
+
+
+def test_many_rows_of_one_id_train_as_one(spark):
+    texts, labels = labelled(spark)
+    docs = documents(spark, texts)
+    many = docs.unionAll(docs.where("doc_id = 1").crossJoin(spark.range(300).select()))
+    bags, marks = toxicity.training_rows(toxicity.texts_of(many), labels, None)
+    assert len(bags) == 60 and sum(marks) == 30
+    assert sorted(tuple(r) for r in toxicity.toxicity(docs, labels).collect()) == sorted({tuple(r) for r in toxicity.toxicity(many, labels).collect()})
+
+
 def held_out_figures(spark, sf_dir):
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf_dir).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
