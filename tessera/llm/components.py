@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    written = label
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
@@ -25,6 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("low"), F.col("low").alias("next"))
         after = step.join(jump, "low").select("node", "next", (F.col("next") != F.col("label")).alias("moved"))
         after = materialise(after, "labels")
+        release(step, written)
+        written = after
         label = after.select("node", F.col("next").alias("label"))
         if after.where("moved").limit(1).count() == 0:
+            release(both)
             return label.withColumnRenamed("label", "component")

@@ -18,13 +18,16 @@ partner in the task, never pairs, so a large group of near copies costs comparis
 
 Texts with one to four words have one shingle of all of them.  Null and empty texts have
 none: each is a class of its own without links.  Rows without doc_id have no class and
-no links.  Rows that repeat an id count as further copies.  An empty table gives an empty
-result; further columns are ignored, or kept by ``keep_one_of_each``.
+no links.  Rows that repeat an id count row by row: as further copies where their shingles
+are the same, else as documents of their own, which are known apart by their digests though
+their class ids may be equal.  Ids must be numbers.  An empty table gives an empty result; further
+columns are ignored, or kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
@@ -34,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix, texts_of
+from tessera.llm.common import built, materialise, mix, release, texts_of
 from tessera.llm.components import components
 from tessera.llm.repeats import Rolling, Tables, in_chunks, word_units
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, Fraction(4, 5), 1e-5
 BANDS, ROWS, STEP = 25, 5, 25
 #: Classes that meet in one task; more are cut into blocks of half as many.
-TOGETHER = 512
+TOGETHER = 256
 U64 = np.uint64
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -92,12 +95,17 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Written table (doc_id, digest of the shingle set, bands) of the documents with words and an id."""
+    """Written table (doc_id, print, digest of the shingle set, bands) of the documents with words and an id.
+
+    print tells the texts of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
         for batch in batches:
-            for ids, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, prints = batch.column(0).flatten()
+            rows = [None if i is None else (i, p) for i, p in zip(ids.to_pylist(), prints.to_pylist(), strict=True)]
+            for ids, texts in in_chunks(rows, batch.column(1).to_pylist()):
                 sets = shingle_sets(texts, tables)
                 keep = [k for k, s in enumerate(sets) if len(s)]
                 if not keep:
@@ -105,22 +113,27 @@ def described(docs: DataFrame) -> DataFrame:
                 keys = band_keys(signatures([sets[k] for k in keep])).view(np.int64)
                 yield pa.record_batch(
                     [
-                        pa.array([ids[k] for k in keep], pa.int64()),
+                        pa.array([{"doc_id": ids[k][0], "print": ids[k][1]} for k in keep], pa.struct([("doc_id", pa.int64()), ("print", pa.int64())])),
                         pa.array([hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest() for k in keep], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "digest", "bands"],
+                    ["row", "digest", "bands"],
                 )
 
-    return materialise(docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>"), "described")
+    prints = docs.select(F.struct("doc_id", F.xxhash64("text").alias("print")).alias("row"), "text")
+    found = prints.mapInArrow(run, "row struct<doc_id:long,print:long>, digest binary, bands array<long>")
+    return materialise(found.select("row.*", "digest", "bands"), "described")
+
+
+def sets_of(texts: list[str]) -> list[np.ndarray]:
+    tables = Tables()
+    return [shingle_sets([t.encode("utf-8", "surrogatepass")], tables)[0] for t in texts]
 
 
 class Meeting:
     """Classes that meet in a task: their shingles as small numbers, and their signatures."""
 
-    def __init__(self, texts: list[str]):
-        tables = Tables()
-        sets = [shingle_sets([t.encode("utf-8", "surrogatepass")], tables)[0] for t in texts]
+    def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets])
         self.signature = signatures(sets)
         names, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -150,7 +163,7 @@ class Meeting:
         return others[common * (p + q) >= p * (self.size[i] + self.size[others])]
 
 
-LINKS = "class_id long, text_links long, doc_links long, root long"
+LINKS = "class binary, text_links long, doc_links long, root binary"
 
 
 def meet(table: pa.Table) -> pa.Table:
@@ -159,16 +172,13 @@ def meet(table: pa.Table) -> pa.Table:
     lo and hi: the blocks that meet (equal: all pairs); band: where it is not null, the pairs
     whose labels differ and whose first equal band it is.
     """
-    rows = {}
-    for r in table.to_pylist():
-        rows.setdefault((r["class_id"], r["block"]), r)
-    rows = [rows[k] for k in sorted(rows)]
-    ids = np.array([r["class_id"] for r in rows], dtype=np.int64)
+    rows = sorted(table.to_pylist(), key=lambda r: (r["class"], r["block"]))
+    ids = np.array([r["class"] for r in rows], dtype=object)
     copies = np.array([r["copies"] for r in rows], dtype=np.int64)
-    label = np.array([r["label"] for r in rows], dtype=np.int64)
+    label = np.unique(np.array([r["label"] for r in rows], dtype=object), return_inverse=True)[1]
     block = np.array([r["block"] for r in rows], dtype=np.int64)
     lo, hi, band = rows[0]["lo"], rows[0]["hi"], rows[0]["band"]
-    meeting = Meeting([r["text"] for r in rows])
+    meeting = Meeting(sets_of([r["text"] for r in rows]))
     keys = band_keys(meeting.signature) if band is not None else None
     links, doc_links = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
     root = np.arange(len(rows))
@@ -202,33 +212,34 @@ def meet(table: pa.Table) -> pa.Table:
                 if a != b:
                     root[max(a, b)] = min(a, b)
     linked = np.flatnonzero(links)
-    roots = np.array([find(k) for k in linked], dtype=np.int64)
-    return pa.table({"class_id": ids[linked], "text_links": links[linked], "doc_links": doc_links[linked], "root": ids[roots] if len(roots) else roots})
+    roots = [find(k) for k in linked]
+    classes, roots = (pa.array([ids[k] for k in x], pa.binary()) for x in (linked, roots))
+    return pa.table({"class": classes, "text_links": links[linked], "doc_links": doc_links[linked], "root": roots})
 
 
 def tasks_of(classes: DataFrame) -> DataFrame:
-    """Written table (task, lo, hi, band, class_id, block, label): which classes meet where."""
-    band = classes.select("class_id", F.posexplode("bands").alias("band", "key"))
-    band = band.select("class_id", F.col("band").cast("int").alias("band"), "key")
-    counts = band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("low")).where("n > 1")
+    """Written table (task, lo, hi, band, class, block, label): which classes meet where."""
+    band = classes.select("class", F.posexplode("bands").alias("band", "key"))
+    band = band.select("class", F.col("band").cast("int").alias("band"), "key")
+    counts = band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low")).where("n > 1")
     shared = materialise(band.join(materialise(counts, "buckets"), "key"), "shared")
     # Two rounds of taking the smallest label of the buckets a class is in.
-    first = materialise(shared.groupBy("class_id").agg(F.min("low").alias("label")), "label")
-    bucket = materialise(shared.join(first, "class_id").groupBy("key").agg(F.min("label").alias("low2")), "second")
-    label = materialise(shared.drop("low").join(bucket, "key").groupBy("class_id").agg(F.min("low2").alias("label")), "label")
+    first = materialise(shared.groupBy("class").agg(F.min("low").alias("label")), "label")
+    bucket = materialise(shared.join(first, "class").groupBy("key").agg(F.min("label").alias("low2")), "second")
+    label = materialise(shared.drop("low").join(bucket, "key").groupBy("class").agg(F.min("low2").alias("label")), "label")
     sizes = materialise(label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     blocks = F.when(F.col("n") <= TOGETHER, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / TOGETHER)).cast("int")
-    own = label.join(sizes, "label").select("class_id", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"))
+    own = label.join(sizes, "label").select("class", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
     grouped = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        F.col("label").alias("task"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.lit(None).cast("int").alias("band"), "class_id", "block", "label"
+        F.col("label").alias("task"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.lit(None).cast("int").alias("band"), "class", "block", "label"
     )
     # Buckets over several labels; the label group covers all pairs within one label.
-    labelled = materialise(shared.select("key", "band", "class_id", "n").join(label, "class_id"), "labelled")
+    labelled = materialise(shared.select("key", "band", "class", "n").join(label, "class"), "labelled")
     several = materialise(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "several")
     rest_blocks = F.when(F.col("n") <= TOGETHER, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / TOGETHER)).cast("int")
-    rest = labelled.join(several, "key").select("*", rest_blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), rest_blocks).cast("int").alias("block"))
+    rest = labelled.join(several, "key").select("*", rest_blocks.alias("blocks"), F.pmod(F.xxhash64("class"), rest_blocks).cast("int").alias("block"))
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        F.col("key").alias("task"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "class_id", "block", "label"
+        F.col("key").cast("string").cast("binary").alias("task"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "band", "class", "block", "label"
     )
     return materialise(grouped.unionByName(rest), "tasks")
 
@@ -242,19 +253,29 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     docs = texts_of(docs)
     sets = described(docs)
-    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    # A class is known by its smallest id and its digest, as bytes in the order of the ids; repeated ids stay apart.
+    one = F.min(F.struct("doc_id", "print")).alias("one")
+    classes = sets.groupBy("digest").agg(one, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    number = F.unhex(F.lpad(F.hex(F.col("one.doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    classes = classes.select("digest", F.concat(number, "digest").alias("class"), F.col("one.doc_id").alias("class_id"), F.col("one.print").alias("print"), "copies", "bands")
     classes = materialise(classes, "classes")
     tasks = tasks_of(classes)
-    needed = materialise(tasks.select("class_id").distinct().join(classes.select("class_id", "copies"), "class_id"), "needed")
-    # Hash join with the short side built: the texts are streamed and need no sort.
-    texts = docs.where("doc_id is not null").join(needed.withColumnRenamed("class_id", "doc_id").hint("shuffle_hash"), "doc_id")
-    texts = materialise(texts.select(F.col("doc_id").alias("class_id"), "copies", "text"), "texts")
-    links = tasks.join(texts, "class_id").groupBy("task", "lo", "hi", "band").applyInArrow(meet, LINKS)
+    needed = materialise(tasks.select("class").distinct().join(classes.select("class", F.col("class_id").alias("doc_id"), "print", "copies"), "class"), "needed")
+    # Hash join with the short side built, where it fits: the texts are streamed and need no sort.
+    prints = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("print"), "text")
+    texts = prints.join(built(needed), ["doc_id", "print"])
+    # Of rows that repeat an id and its text one stays.
+    texts = materialise(texts.groupBy("class", "copies").agg(F.first("text").alias("text")), "texts")
+    links = tasks.join(texts, "class").groupBy("task", "lo", "hi", "band").applyInArrow(meet, LINKS)
     links = materialise(links, "links")
-    totals = links.groupBy("class_id").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
-    linked = components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    known = classes.select("digest", "class_id", "copies").join(totals, "class_id", "left").join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
+    release(tasks, needed, texts)
+    totals = links.groupBy("class").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
+    linked = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    first = F.conv(F.hex(F.substring("component", 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")
+    linked = linked.select(F.col("node").alias("class"), first.cast("long").alias("component"))
+    known = classes.select("digest", "class", "class_id", "copies").join(totals, "class", "left").join(linked, "class", "left").drop("class")
     known = materialise(known, "known")
+    release(classes, links)
     placed = sets.select("doc_id", "digest").join(known, "digest").select(
         "doc_id",
         F.coalesce("component", "class_id").alias("class_id"),
@@ -274,17 +295,17 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Different texts under one id are different documents that the id cannot tell apart: all
     of them stay, or go, with the id, even where they are near copies of each other.
     """
-    gone = materialise(jaccard_join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    tag = uuid.uuid4().hex[:8]
+    gone_id, own_id, count, digest, row = (f"{x}_{tag}" for x in ("gone", "id", "rows", "text", "row"))
+    gone = materialise(jaccard_join(docs).where("doc_id != class_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     key, words = F.col("doc_id").cast("long"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    ids = docs.where(key.isNotNull() & words).groupBy(key.alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
-    twice = materialise(ids.where("__rows > 1").select("__id"), "twice")
+    kept = docs.join(built(gone), key == F.col(gone_id), "left_anti")
+    ids = docs.where(key.isNotNull() & words).groupBy(key.alias(own_id)).agg(F.count(F.lit(1)).alias(count))
+    twice = materialise(ids.where(F.col(count) > 1).select(own_id), "twice")
     if twice.isEmpty():
         return kept
-    repeated = words & (key == F.col("__id"))
-    many = kept.join(twice.hint("shuffle_hash"), repeated, "left_semi")
+    repeated = words & (key == F.col(own_id))
+    many = kept.join(built(twice), repeated, "left_semi")
     # Partial aggregates leave one row a partition, so a row repeated any number of times is no large group.
-    one = many.groupBy(key.alias("__id"), F.sha2(F.col("text").cast("binary"), 256).alias("__text")).agg(F.first(F.struct(*docs.columns)).alias("__row"))
-    return kept.join(twice.hint("shuffle_hash"), repeated, "left_anti").unionByName(one.select("__row.*"))
-
-
+    one = many.groupBy(key.alias(own_id), F.sha2(F.col("text").cast("binary"), 256).alias(digest)).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return kept.join(built(twice), repeated, "left_anti").unionByName(one.select(f"{row}.*"))
