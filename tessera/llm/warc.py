@@ -4,7 +4,10 @@ Records are written as one gzip member each, so a record can be read by its byte
 Every capture has an index line: reversed-host URL key, page id, file, offset, length.
 Lines are sorted by key and packed into compressed blocks, and a sparse directory keeps
 the first key of each block with the block's own byte range; a look-up searches the
-directory, reads one block, searches its lines and reads one record.
+directory, reads one block, searches its lines and reads one record.  ``CaptureIndex`` does
+that for single URLs on one machine, ``look_up`` for a table of keys: each key goes to the
+index files whose range of keys holds it, and a file's keys meet the file's part of the
+directory in one task.  The driver sees the first and last key of each index file.
 
 Files are written by executors into a folder that driver and executors share, through
 pyarrow's file systems (local mounts, HDFS, object stores), each under a name of its own;
@@ -12,7 +15,9 @@ only files named by rows of the task attempt that Spark committed count, so a lo
 executor leaves at most unused files behind.
 
 Of records with equal payloads of at least ``min_bytes`` bytes that with the largest page id
-is the response and the others revisit it; smaller payloads are all responses.  A null html
+is the response and the others revisit it; smaller payloads are all responses.  Payloads are
+taken as equal if SHA-1 and SHA-256 are.  A payload is held whole by the task that writes
+or reads its record.  A null html
 is an empty payload.  Null page ids come before all others.  Of rows that share an id and a
 payload the one with the largest URL hash is the response; rows that repeat it wholly are
 responses too.  Null URLs have the empty key.  An empty table gives no files, an empty index and no rows.
@@ -41,6 +46,8 @@ MIN_BYTES = 0
 LEVEL = 3
 #: Lines in one block of the index, and bytes of records in one archive file.
 BLOCK_LINES, FILE_BYTES = 1024, 256 << 20
+#: Bytes of records that one task is to read back.
+TASK_BYTES = 64 << 20
 #: The date of every record: pages carry none, and equal inputs should give equal archives.
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -54,7 +61,11 @@ def file_system(path: str):
 
 
 def url_key(url: str | None) -> str:
-    """Reversed host, port and path of a URL, lower case: com,example,www)/path?query."""
+    """Reversed host, port and path of a URL, lower case, without blanks and controls: com,example,www)/path?query."""
+    return re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", _url_key(url))
+
+
+def _url_key(url: str | None) -> str:
     if not url:
         return ""
     try:
@@ -146,23 +157,25 @@ def planned(pages: DataFrame, min_bytes: int) -> DataFrame:
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"),
     )
     size = F.length("payload").cast("long")
-    marked = slim.select("page_id", "url", size.alias("size"), F.sha1("payload").alias("sha1"), F.xxhash64("url").alias("tie"), "payload")
+    marked = slim.select("page_id", "url", size.alias("size"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), F.xxhash64("url").alias("tie"), "payload")
     large = marked.where(F.col("size") >= min_bytes)
     # One row for each payload, combined before the exchange and written, so that a frequent payload's join can be split.
     best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), "tie"))
-    newest = materialise(large.groupBy("sha1").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "newest")
+    newest = materialise(large.groupBy("sha1", "sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "newest")
     revisits = (
         F.col("best").isNotNull()
         & (F.col("size") >= min_bytes)
         & ~((F.coalesce("page_id", F.lit(-(1 << 63))) == F.col("best.id")) & (F.col("tie") == F.col("best.tie")))
     )
-    joined = marked.join(newest, "sha1", "left")
+    joined = marked.join(newest, ["sha1", "sha256"], "left")
     refers = F.when(F.col("best.id") != -(1 << 63), F.col("best.id"))
     return joined.select(
         "page_id", "url", "size", "sha1", revisits.alias("revisit"), F.when(revisits, refers).alias("refers_to"), F.when(~revisits, F.col("payload")).alias("payload")
     )
 
 
+DIRECTORY = "first_key string, last_key string, file string, offset long, length int, lines int, bytes long"
+DIRECTORY_FIELDS = [f.split()[0] for f in DIRECTORY.split(", ")]
 CAPTURE = "key string, page_id long, file string, offset long, length int"
 
 
@@ -200,7 +213,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
 
 def line_of(row: tuple) -> str:
     key, page_id, file, offset, length = row
-    return "\t".join([key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D"), "" if page_id is None else str(page_id), file, str(offset), str(length)])
+    return "\t".join([key, "" if page_id is None else str(page_id), file, str(offset), str(length)])
 
 
 def row_of(line: str) -> tuple[str, int | None, str, int, int]:
@@ -209,7 +222,10 @@ def row_of(line: str) -> tuple[str, int | None, str, int, int]:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort captures by key into compressed blocks; returns the directory (first_key, last_key, file, offset, length, lines)."""
+    """Sort captures by key into compressed blocks; returns the directory (first_key, last_key, file, offset, length, lines, bytes).
+
+    bytes: those of the records that a block lists.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
@@ -223,7 +239,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
                 out = system.open_output_stream(f"{base}/{name}", compression=None)
             block = gzip.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6, mtime=0)
             out.write(block)
-            entries.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], name, offset, len(block), len(lines)))
+            entries.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], name, offset, len(block), len(lines), sum(row_of(x)[4] for x in lines)))
             offset += len(block)
 
         try:
@@ -237,13 +253,13 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
         finally:
             if out is not None:
                 out.close()
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         if entries:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*entries, strict=True), kinds, strict=True)], ["first_key", "last_key", "file", "offset", "length", "lines"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*entries, strict=True), kinds, strict=True)], DIRECTORY_FIELDS)
 
     # Ties of one key may span partitions: the page id is part of the order, so a hot key is dealt over many.
     ordered = captures.repartitionByRange(shuffle_partitions(captures), "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return materialise(ordered.mapInArrow(blocks, "first_key string, last_key string, file string, offset long, length int, lines int"), "directory")
+    return materialise(ordered.mapInArrow(blocks, DIRECTORY), "directory")
 
 
 def read_range(system, base: str, file: str, offset: int, length: int) -> bytes:
@@ -258,6 +274,7 @@ class CaptureIndex:
         self.directory = sorted(directory)
         self.system, self.base = file_system(folder)
         self.firsts = [r[0] for r in self.directory]
+        self.held: tuple | None = None
 
     @classmethod
     def load(cls, directory: DataFrame, folder: str) -> CaptureIndex:
@@ -265,38 +282,69 @@ class CaptureIndex:
         return cls([tuple(r)[:5] for r in directory.collect()], folder)
 
     def captures(self, url: str) -> list[tuple[str, int | None, str, int, int]]:
-        key = line_of((url_key(url), None, "", 0, 0)).split("\t", 1)[0]
+        return list(self.search(url_key(url)))
+
+    def search(self, key: str) -> Iterator[tuple[str, int | None, str, int, int]]:
+        """Captures of a key: binary search in the directory, then in the lines of each block that may hold it."""
         at = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        out = []
         while at < len(self.directory) and self.firsts[at] <= key:
-            _, last, file, offset, length = self.directory[at]
-            if last >= key:
-                lines = zlib.decompress(read_range(self.system, self.base, file, offset, length), 31).decode("utf-8", "surrogatepass").split("\n")
-                k = bisect.bisect_left(lines, key + "\t")
-                while k < len(lines) and lines[k].split("\t", 1)[0] == key:
-                    out.append(row_of(lines[k]))
+            if self.directory[at][1] >= key:
+                lines, keys = self.block(at)
+                k = bisect.bisect_left(keys, key)
+                while k < len(lines) and keys[k] == key:
+                    yield row_of(lines[k])
                     k += 1
             at += 1
-        return out
+
+    def block(self, at: int) -> tuple[list[str], list[str]]:
+        """Lines and keys of a block; the last one read is remembered."""
+        if self.held is None or self.held[0] != at:
+            _, _, file, offset, length = self.directory[at]
+            lines = zlib.decompress(read_range(self.system, self.base, file, offset, length), 31).decode("utf-8", "surrogatepass").split("\n")
+            self.held = at, lines, [x.split("\t", 1)[0] for x in lines]
+        return self.held[1:]
 
     def records(self, url: str) -> list[Record]:
         return [parse_record(read_range(self.system, self.base, f, o, n)) for _, _, f, o, n in self.captures(url)]
 
 
-def read_back(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record that the index knows: blocks by range reads, then records by range reads, file by file.
+CAPTURE_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
+CAPTURE_FIELDS = ["key", "page_id", "file", "offset", "length"]
 
-    Columns: page_id, url, payload_bytes, payload_digest, record_type, refers_to, key.
-    """
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = file_system(folder)
+def look_up(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """CAPTURE rows of every key of keys (key string, without repetitions), by way of the directory."""
+    ranges = [tuple(r) for r in directory.groupBy("file").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b")).select("a", "b", "file").collect()]
+    ranges.sort()
+    sent = keys.sparkSession.sparkContext.broadcast(ranges)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [a for a, _, _ in sent.value]
         for batch in batches:
-            for file, offset, length in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                text = zlib.decompress(read_range(system, base, file, offset, length), 31).decode("utf-8", "surrogatepass")
-                rows = list(zip(*map(row_of, text.split("\n")), strict=True))
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["key", "page_id", "file", "offset", "length"])
+            files, wanted = [], []
+            for key in batch.column(0).to_pylist():
+                at = bisect.bisect_right(firsts, key) - 1
+                # Index files cover ranges of keys one after the other; only a frequent key is in several.
+                while at >= 0 and sent.value[at][1] >= key:
+                    files.append(sent.value[at][2])
+                    wanted.append(key)
+                    at -= 1
+            yield pa.record_batch([pa.array(files, pa.string()), pa.array(wanted, pa.string())], ["file", "key"])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = CaptureIndex(list(zip(*(right.column(k).to_pylist() for k in DIRECTORY_FIELDS[:5]), strict=True)), folder)
+        rows = [r for key in sorted(left.column("key").to_pylist()) for r in index.search(key)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, CAPTURE_KINDS, strict=True)], CAPTURE_FIELDS)
+
+    routed = keys.mapInArrow(route, "file string, key string")
+    return routed.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(search, CAPTURE)
+
+
+def read_back(captures: DataFrame, folder: str, n_bytes: int = 0) -> DataFrame:
+    """Every record of captures, by range reads, file by file; n_bytes: those of all records.
+
+    Columns: page_id, url, payload_bytes, payload_digest, record_type, refers_to, key.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
@@ -319,20 +367,26 @@ def read_back(directory: DataFrame, folder: str) -> DataFrame:
             if handle is not None:
                 handle.close()
 
-    captures = directory.repartition(shuffle_partitions(directory)).mapInArrow(lines, CAPTURE)
     # Neighbouring ranges of a file are read by one task, in order; a file is dealt over tasks by stretches of 8 MB.
-    near = captures.repartition(shuffle_partitions(directory), "file", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset")
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_BYTES)
+    near = captures.repartition(tasks, "file", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset")
     return near.mapInArrow(records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, key string")
 
 
-def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> tuple[str, DataFrame]:
-    """Write archives and index of pages; returns the folder and the directory of the index."""
+def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> tuple[str, DataFrame, DataFrame]:
+    """Write archives and index of pages; returns the folder, the directory of the index, and the captures."""
     spark: SparkSession = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return folder, write_index(write_archives(pages, folder, min_bytes), folder)
+    captures = write_archives(pages, folder, min_bytes)
+    return folder, write_index(captures, folder), captures
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, as read back from its record."""
-    folder, directory = archive(pages, None, min_bytes)
-    return read_back(directory, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, as read back from its record.
+
+    The keys of all pages are looked up in the index, and the records that it names are read.
+    """
+    folder, directory, captures = archive(pages, None, min_bytes)
+    n_bytes = directory.agg(F.coalesce(F.sum("bytes"), F.lit(0))).head()[0]
+    found = look_up(captures.select("key").distinct(), directory, folder)
+    return read_back(found, folder, n_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

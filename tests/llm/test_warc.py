@@ -44,7 +44,7 @@ def test_look_up_finds_all_captures(spark, monkeypatch):
     rows, table = pages(spark)
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     monkeypatch.setattr(warc, "FILE_BYTES", 4000)
-    folder, directory = warc.archive(table)
+    folder, directory, captures = warc.archive(table)
     index = warc.CaptureIndex.load(directory, folder)
     wanted = {}
     for page_id, url, _ in rows:
@@ -57,6 +57,23 @@ def test_look_up_finds_all_captures(spark, monkeypatch):
             if r.kind == "response":
                 assert r.payload == (html[r.page_id] or "").encode()
     assert index.records("http://nowhere.example.org/") == []
+    keys = captures.select("key").distinct()
+    assert sorted(map(tuple, warc.look_up(keys, directory, folder).collect()), key=str) == sorted(map(tuple, captures.collect()), key=str)
+    some = [warc.url_key(url) for _, url, _ in rows[::17]] + ["com,nowhere)/", "", "zz"]
+    found = warc.look_up(spark.createDataFrame([(k,) for k in set(some)], "key string"), directory, folder).collect()
+    assert sorted(r.page_id for r in found) == sorted(p for p, url, _ in rows if warc.url_key(url) in some)
+
+
+def test_keys_with_controls_are_found(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    urls = ["h", "h\x01", "h\t", "h\n", "h ", "h\x01x", "h!", "hh", "h\x1f", "é", "\U0001f600", "\uffff"] * 2
+    table = spark.createDataFrame([(i, u, str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder, directory, _ = warc.archive(table)
+    index = warc.CaptureIndex.load(directory, folder)
+    for u in set(urls):
+        wanted = {i for i, v in enumerate(urls) if warc.url_key(v) == warc.url_key(u)}
+        assert {r[1] for r in index.captures(u)} == wanted
+    assert warc.round_trip(table).count() == len(urls)
 
 
 def test_empty_table_null_ids_and_repeated_rows(spark):
