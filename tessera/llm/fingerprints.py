@@ -3,11 +3,15 @@
 Texts that compress well together share dictionary phrases, so the share of equal bins
 estimates the Jaccard likeness of two phrase sets.  One hash a phrase is enough: its top
 bits choose one of BINS bins, and each bin keeps its minimum.
+
+Texts of any length are parsed whole; a task holds the texts of a batch and the dictionary
+of one.  Ids must be numbers or null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,53 +120,82 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def in_descending_order(docs: DataFrame) -> DataFrame:
-    """Partitions of (bucket, guest, doc_id, text), sorted so that every row is followed by its successor.
+class Order:
+    """Buckets of the order: descending id, nulls last, equal ids by the hash of their text.
 
-    The order is descending doc_id, then text, nulls last.  Ids are cut into buckets at
-    quantiles; the first row of a bucket also goes, as a guest, to the end of the bucket
-    before it (that of the first bucket to the end of the last), so the texts are exchanged
-    once and the driver sees one id for each bucket.
+    cuts: ascending ids at which buckets begin; parts: into how many buckets the rows of one
+    frequent id are dealt by hash; nulls: the same for rows without id, which have buckets of their own.
     """
-    docs = texts_of(docs)
-    n = shuffle_partitions(docs)
-    quantiles = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    cuts = np.array(sorted({int(x) for x in quantiles}), dtype=np.int64)
 
-    def bucket_of(ids: pa.Array) -> np.ndarray:
+    def __init__(self, quantiles: list[int], nulls: int):
+        counted = Counter(quantiles)
+        self.cuts = np.array(sorted(counted), dtype=np.int64)
+        # An id that is several quantiles in a row has as many buckets' worth of rows.
+        self.parts = np.array([counted[x] for x in self.cuts.tolist()], dtype=np.int64)
+        self.nulls = max(1, nulls)
+        # From each cut up to the next one there is a bucket, and after it those of the cut's own id if that is frequent.
+        width = np.where(self.parts > 1, self.parts + 1, 1)
+        self.before = np.concatenate((np.cumsum(width[::-1])[::-1][1:], [0])) if len(self.cuts) else width
+        self.size = int(width.sum()) + 1 + self.nulls
+
+    def buckets(self, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        # Ids at or above the largest cut are in bucket 0; null ids follow the smallest ones.
-        return np.where(known, len(cuts) - np.searchsorted(cuts, values, side="right"), len(cuts))
+        share = (hashes.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5).clip(0, 1 - 1e-9)
+        first_null = self.size - self.nulls
+        out = np.full(len(values), first_null - 1, dtype=np.int64)  # below all cuts
+        if len(self.cuts):
+            at = np.searchsorted(self.cuts, values, side="right") - 1
+            low = np.maximum(at, 0)
+            own = (self.parts[low] > 1) & (self.cuts[low] == values)
+            out = np.where(at >= 0, self.before[low] + np.where(own, 1 + (share * self.parts[low]).astype(np.int64), 0), out)
+        return np.where(known, out, first_null + (share * self.nulls).astype(np.int64)).astype(np.int32)
+
+
+def in_descending_order(docs: DataFrame) -> DataFrame:
+    """Partitions of (bucket, guest, doc_id, text), sorted so that every row is followed by its successor.
+
+    The order is descending doc_id, nulls last, then a hash of the text, then the text.  Rows
+    are cut into buckets at quantiles of the id; those of a frequent id, or without one, are
+    dealt over several by the hash, so only equal rows cannot be parted, and these are
+    streamed.  The first row of a bucket also goes, as a guest, to the end of the
+    bucket before it (that of the first bucket to the end of the last), so the texts are
+    exchanged once and the driver sees one id for each bucket.
+    """
+    docs = texts_of(docs).withColumn("hash", F.xxhash64("text"))
+    n = shuffle_partitions(docs)
+    total, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).head()
+    quantiles = docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 and known else []
+    order = Order([int(x) for x in quantiles], -(-(total - known) * n // max(total, 1)))
 
     @F.arrow_udf("int")
-    def bucket(ids: pa.Array) -> pa.Array:
-        return pa.array(bucket_of(ids), pa.int32())
+    def bucket(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(order.buckets(ids, hashes), pa.int32())
 
-    firsts = {
-        r.bucket: r.first
-        for r in docs.select(bucket("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()
-    }
+    # bitwise not is the descending order of ids; one value for rows without id.
+    down = F.coalesce(F.bitwise_not("doc_id"), F.lit(0))
+    first = F.min(F.struct(down.alias("down"), "hash")).alias("first")
+    firsts = {r.bucket: tuple(r.first) for r in docs.select(bucket("doc_id", "hash").alias("bucket"), "doc_id", "hash").groupBy("bucket").agg(first).collect()}
     used = sorted(firsts)
     before = {k: used[i - 1] for i, k in enumerate(used)}
-    guests = {firsts[k]: before[k] for k in used}  # by the first id of a bucket; None where a bucket holds only null ids
 
     @F.arrow_udf("array<int>")
-    def places(ids: pa.Array) -> pa.Array:
+    def places(ids: pa.Array, hashes: pa.Array) -> pa.Array:
         """A row's bucket and, where it is the first of its bucket, -1 - the bucket it is a guest of."""
-        own = bucket_of(ids)
+        own = order.buckets(ids, hashes)
         out = [[b] for b in own.tolist()]
-        for i, x in enumerate(ids.to_pylist()):
-            if x in guests and firsts[out[i][0]] == x:
-                out[i].append(-1 - guests[x])
+        for i, (x, h) in enumerate(zip(ids.to_pylist(), hashes.to_pylist(), strict=True)):
+            if firsts[out[i][0]] == (0 if x is None else ~x, h):
+                out[i].append(-1 - before[out[i][0]])
         return pa.array(out, pa.list_(pa.int32()))
 
     place = F.col("place")
     return (
-        docs.select(F.explode(places("doc_id")).alias("place"), "doc_id", "text")
-        .select(F.when(place < 0, -1 - place).otherwise(place).alias("bucket"), (place < 0).alias("guest"), "doc_id", "text")
-        .repartitionById(max(len(cuts) + 1, n), F.col("bucket"))
-        .sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_last())
+        docs.select(F.explode(places("doc_id", "hash")).alias("place"), "doc_id", "hash", "text")
+        .select(F.when(place < 0, -1 - place).otherwise(place).alias("bucket"), (place < 0).alias("guest"), "doc_id", "hash", "text")
+        .repartitionById(order.size, F.col("bucket"))
+        .sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "hash", F.col("text").asc_nulls_last())
+        .select("bucket", "guest", "doc_id", "text")
     )
 
 
@@ -178,7 +211,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     The edited text is the row's with its last floor(n_chars / 2) code points replaced by
     the first as many (or all) of the next document's, by descending doc_id; the last one
     is followed by the first.  Null texts count as empty.  Rows with equal ids follow one
-    another by text; null ids come last; a single row is its own successor.  The half that
+    another by a hash of their text; null ids come last; a single row is its own successor.  The half that
     both texts share is parsed once and the parse forked.
     """
 

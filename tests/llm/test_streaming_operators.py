@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from tests.llm.helpers import clashing, documents, edge_cases
 
 from tessera.llm import decontamination, fingerprints, queries, token_counts
@@ -97,30 +98,45 @@ def test_items_with_a_null_id_hit(spark, monkeypatch):
     assert kept == {0: other, 1: other, 2: other}
 
 
+def brute_signature(text):
+    """The fingerprint by its definition, in whole numbers: 128 minima of 16 bits over the phrases of an LZ78 parse."""
+    seen, p = set(), ""
+    for c in text:
+        p += c
+        if p not in seen:
+            seen.add(p)
+            p = ""
+    inverse, whole = pow(0x9E3779B97F4A7C15, -1, 2**64), 2**64
+    bins = [0xFFFF] * 128
+    for phrase in seen:
+        x = sum((ord(c) + 1) * pow(inverse, k, whole) for k, c in enumerate(phrase)) % whole
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        x ^= x >> 31
+        bins[x >> 57] = min(bins[x >> 57], (x >> 8) % 0xFFFF)
+    return bins
+
+
+def brute_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != (0xFFFF, 0xFFFF)]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+def spark_hash(text):
+    return 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42) - 2**64 * (xxhash.xxh64_intdigest(text.encode(), 42) >> 63)
+
+
 def brute_edit(rows_in):
     """rows_in: (doc_id, text).  Plain LZ78 on both texts."""
-    powers = fingerprints.Powers()
-
-    def signature(text):
-        seen, p, ends = set(), "", []
-        for i, c in enumerate(text, 1):
-            p += c
-            if p not in seen:
-                seen.add(p)
-                ends.append(i)
-                p = ""
-        return fingerprints.signature(text, ends, powers)
-
-    order = sorted(rows_in, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, r[1] or ""))
+    order = sorted(rows_in, key=lambda r: (r[0] is None, -(r[0] or 0), spark_hash(r[1]), r[1] or ""))
     out = []
     for k, (doc_id, text) in enumerate(order):
         text, follow = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         new = text[: len(text) - half] + follow[:half]
-        a, b, c = signature(text), signature(new), signature(follow)
-        texts = fingerprints.as_text(a), fingerprints.as_text(b)
-        near = fingerprints.likeness(a, b), fingerprints.likeness(a, c)
-        out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), *texts, *near))
+        a, b, c = brute_signature(text), brute_signature(new), brute_signature(follow)
+        texts = ["".join(f"{x:04x}" for x in bins) for bins in (a, b)]
+        out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), *texts, brute_likeness(a, b), brute_likeness(a, c)))
     return out
 
 
@@ -144,7 +160,18 @@ def test_edit_likeness_of_ties_nulls_and_small_tables(spark):
     assert len(one) == 1 and one[0][5:] == (1.0, 1.0)
 
 
+def test_frequent_ids_and_nulls_are_dealt_over_buckets(spark):
+    pairs = [(7, f"seven {k}") for k in range(300)] + [(None, f"none {k}") for k in range(200)] + [(k, f"text {k}") for k in range(60)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(6)
+    placed = fingerprints.in_descending_order(docs).where("not guest").groupBy("bucket").count()
+    assert placed.agg({"count": "max"}).head()[0] < 200 and placed.count() > 6
+    got = rows(fingerprints.edit_likeness(docs))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(got, key=key) == sorted(brute_edit(pairs), key=key)
+
+
 def test_fingerprints_without_order(spark):
     texts = edge_cases()
     got = dict(rows(fingerprints.fingerprints(documents(spark, texts))))
     assert got == {i: fingerprints.fingerprint(t) for i, t in enumerate(texts)}
+    assert got == {i: "".join(f"{x:04x}" for x in brute_signature(t or "")) for i, t in enumerate(texts)}
