@@ -1,16 +1,19 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
 Words are what remains of the lower-cased text between ASCII bytes that are neither
-letters nor digits.  The automaton of all items is built once on the driver and sent to
+letters nor digits.  The automaton of all items is built on the driver and sent to
 the executors; a document's words are streamed through it and the longest matching
 suffix is tracked, so the cost is one step a word whatever the number of items.
 
-Size bound of what is broadcast: an automaton holds at most ``MAX_WORDS_EACH`` words (or one
-item); a benchmark beyond that gets several automata, one pass over the documents each.
+Size bound of what is broadcast: an automaton holds at most ``MAX_WORDS_EACH`` words, and items
+beyond that are cut into overlapping slices, which hold the same windows.  A benchmark of
+more words gets several automata, one at a time.  Each of them reads the documents and
+writes only what it hits, by text; at the end documents are joined with the hits of their texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, small_batches, texts_of
+from tessera.llm.common import built, materialise, release, small_batches, texts_of
 
 WINDOW = 10
 #: Words of items in one automaton (about 500 bytes each in a Python worker).
@@ -55,9 +58,17 @@ class SuffixAutomaton:
             if 0 < len(words) < window:
                 whole.append((k, len(words)))
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        # top: the shortest suffix of at least a window; only such states need to know their items.
+        self.top = [0] * len(self.link)
+        for s in order:
+            if self.length[s] >= window:
+                up = self.link[s]
+                self.top[s] = self.top[up] if self.length[up] >= window else s
         for s in reversed(order):
-            holds[self.link[s]] |= holds[s]
-        self.holds = holds
+            if self.length[self.link[s]] >= window:
+                holds[self.link[s]] |= holds[s]
+                holds[s] = holds[s] if self.top[s] == s else set()
+        self.holds = {s: tuple(holds[s]) for s in order if self.top[s] == s}
         # Items shorter than a window: (words, item) at the state of the item's text, handed down the link tree.
         self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
         own: dict[int, list[tuple[int, int]]] = {}
@@ -108,6 +119,7 @@ class SuffixAutomaton:
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Half-open runs of words covered by windows, in order and disjoint, and the items of those windows."""
         step, link, length, window, least = self.next, self.link, self.length, self.window, self.least
+        top, holds = self.top, self.holds
         runs: list[list[int]] = []
         found: set[int] = set()
         state = matched = 0
@@ -131,10 +143,7 @@ class SuffixAutomaton:
                 continue
             cover = 0
             if matched >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
-                found |= self.holds[s]
+                found.update(holds[top[state]])
                 cover = window
             for n, k in self.short[state]:
                 if n <= matched:
@@ -162,11 +171,15 @@ def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[SuffixAutom
         words = normal_words(r.t)
         if not words:
             continue
-        if part and size + len(words) > MAX_WORDS_EACH:
-            yield SuffixAutomaton(part, window)
-            part, size = [], 0
-        part.append((r.k, words))
-        size += len(words)
+        # Slices of long items overlap by a window less one word, and none is shorter than a window.
+        step = max(MAX_WORDS_EACH - window + 1, window)
+        for at in range(0, max(len(words) - window + 1, 1), step):
+            piece = words[at : at + step + window - 1]
+            if part and size + len(piece) > MAX_WORDS_EACH:
+                yield SuffixAutomaton(part, window)
+                part, size = [], 0
+            part.append((r.k, piece))
+            size += len(piece)
     if part:
         yield SuffixAutomaton(part, window)
 
@@ -182,53 +195,78 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 Finish = Callable[[pa.RecordBatch, list[list[bytes]], list[list[tuple[int, int]]], list[set[str]]], pa.RecordBatch]
-FOUND = "__runs array<long>, __items array<string>"
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish, schema: T.StructType | str) -> DataFrame:
-    """finish(batch of docs, words, hit runs, items) of all rows.
+def pairs(flat: list[int]) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2], strict=True))
 
-    Documents pass one automaton after the other; what earlier ones found is written with
-    the documents, so that only one automaton is broadcast at a time.
-    """
+
+def hit_texts(docs: DataFrame, sent) -> DataFrame:
+    """Written table (digest, runs, items) of the texts that the broadcast automaton hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, known = sent.value, set()
+        for batch in batches:
+            digests, runs, items = [], [], []
+            for text in batch.column(0).to_pylist():
+                new, found = machine.hits(normal_words(text))
+                if new:
+                    digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                    if digest not in known:
+                        known.add(digest)
+                        digests.append(digest)
+                        runs.append([x for r in new for x in r])
+                        items.append(sorted({machine.names[k] for k in found if machine.names[k] is not None}))
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip((digests, runs, items), kinds, strict=True)], ["digest", "runs", "items"])
+
+    slim = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    return materialise(slim.mapInArrow(run, "digest binary, runs array<long>, items array<string>"), "hits")
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish, schema: T.StructType | str) -> DataFrame:
+    """finish(batch of docs, words, hit runs, items) of all rows; one pass and no exchange if one automaton holds all items."""
     spark = docs.sparkSession
     small_batches(spark)
-    at, n = docs.columns.index("text"), len(docs.columns)
-    with_found = T.StructType([*docs.schema, *T.StructType.fromDDL(FOUND)])
+    names, at, n = docs.columns, docs.columns.index("text"), len(docs.columns)
+    machines = automata(benchmark, window)
+    machine, following = next(machines, None), next(machines, None)
+    if following is None:
+        sent = spark.sparkContext.broadcast(machine)
 
-    def step(sent, last: bool, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = sent.value
             for batch in batches:
-                old = [[]] * batch.num_rows if first else batch.column(n).to_pylist()
-                items = [set() for _ in old] if first else [set(x or ()) for x in batch.column(n + 1).to_pylist()]
                 words = [normal_words(t) for t in batch.column(at).to_pylist()]
-                runs = []
-                for k, w in enumerate(words):
-                    new, found = machine.hits(w) if machine else ([], set())
-                    known = list(zip(old[k][::2], old[k][1::2], strict=True))
-                    runs.append(merged(known + new) if known and new else known or new)
-                    items[k].update(machine.names[x] for x in found if machine.names[x] is not None)
-                source = pa.RecordBatch.from_arrays(batch.columns[:n], names=docs_names)
-                if last:
-                    yield finish(source, words, runs, items)
-                else:
-                    flat = [[x for run in r for x in run] for r in runs]
-                    columns = [pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*source.columns, *columns], names=[*docs_names, "__runs", "__items"])
-
-        return run
+                hits = [machine.hits(w) if machine else ([], set()) for w in words]
+                items = [{machine.names[k] for k in found if machine.names[k] is not None} for _, found in hits]
+                yield finish(pa.RecordBatch.from_arrays(batch.columns, names=names), words, [r for r, _ in hits], items)
 
-    docs_names = docs.columns
-    machines = automata(benchmark, window)
-    machine, state, first = next(machines, None), docs, True
-    while True:
-        following = next(machines, None)
+        return docs.mapInArrow(one_pass, schema)
+    tables = []
+    while machine is not None:
         sent = spark.sparkContext.broadcast(machine)
-        if following is None:
-            return state.mapInArrow(step(sent, True, first), schema)
-        state = materialise(state.mapInArrow(step(sent, False, first), with_found), "matched")
-        machine, first = following, False
+        tables.append(hit_texts(docs, sent))
+        sent.unpersist()
+        machine, following = following, next(machines, None)
+    hits = tables[0]
+    for t in tables[1:]:
+        hits = hits.unionByName(t)
+    # Equal texts in several tasks or automata: sets, so that repetitions count once.
+    flat = F.flatten(F.collect_set("runs")).alias("runs")
+    found = materialise(hits.groupBy("digest").agg(flat, F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "found")
+    release(*tables)
+    own = docs.toDF(*[f"i{k}" for k in range(n)]).withColumn("own", F.unhex(F.sha2(F.col(f"i{at}").cast("string").cast("binary"), 256)))
+    joined = own.join(built(found), F.col("own") == F.col("digest"), "left").drop("own", "digest")
+
+    def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [normal_words(t) for t in batch.column(at).to_pylist()]
+            runs = [merged(pairs(r)) if r else [] for r in batch.column(n).to_pylist()]
+            items = [set(x or ()) for x in batch.column(n + 1).to_pylist()]
+            yield finish(pa.RecordBatch.from_arrays(batch.columns[:n], names=names), words, runs, items)
+
+    return joined.mapInArrow(last_pass, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

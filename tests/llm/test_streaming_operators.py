@@ -72,6 +72,19 @@ def test_contamination_equals_brute_force(spark, seed, monkeypatch):
     assert sorted(rows(got)) == brute_contamination(texts, items)
 
 
+def test_items_longer_than_an_automaton_and_repeated_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_WORDS_EACH", 25)
+    item = " ".join(f"w{k}" for k in range(90))
+    words = item.split()
+    texts = [" ".join(["x", *words[a : a + n], "y"]) for a in range(0, 80, 3) for n in (9, 10, 31)] * 2 + [item, None]
+    bench = spark.createDataFrame([(1, item), (2, "w3 w4"), (3, item + " end")], "item_id long, text string")
+    docs = documents(spark, texts).repartition(4)
+    got = rows(decontamination.contamination(docs, bench).drop("spans"))
+    assert sorted(got) == brute_contamination(texts, [(1, item), (2, "w3 w4"), (3, item + " end")])
+    clean = clashing(docs)
+    assert decontamination.decontaminate(clean, bench).columns == clean.columns
+
+
 def test_decontaminate_cuts_spans_and_drops_covered_documents(spark):
     item = " ".join(f"secret{i}" for i in range(12))
     other = " ".join(f"plain{i}" for i in range(30))
