@@ -12,10 +12,13 @@ once; a block sends its distinct unigrams and bigrams (64-bit hashes) with their
 as sorted columns cut into ranges of the hash, to one task for each range, which adds
 them up and returns the sums in the order in which they came.  A frequent n-gram is one
 entry a block, so no key is hot; both uses of the blocks share one exchange of the texts.
+Only ranges of which a block has n-grams get a row from it, so there are never more rows
+than distinct n-grams of blocks, whatever the number of blocks and ranges.
 
 Null and empty texts have no tokens and losses of 0.  Labels of unknown documents, and null
 labels, are ignored; of several for one id the largest counts.  Rows without doc_id are
-background.  Rows that repeat an id are documents of their own.  An empty table gives an
+background.  Rows that repeat an id are documents of their own and share a block; texts of
+any length are read whole.  An empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -30,10 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, shuffle_partitions, texts_of
+from tessera.llm.common import materialise, mix, shuffle_partitions, texts_of
 from tessera.llm.repeats import Tables, word_units
 
 PRIOR = 2.0
+TOTALS = ["vocabulary", "target_tokens", "rest_tokens"]
+#: Bytes below which counts are not compressed.
+SMALL = 64
 U64 = np.uint64
 PAIR = U64(0x9FB21C651E98DF25)
 
@@ -49,14 +55,15 @@ def unpacked(raw: bytes, kind: type) -> np.ndarray:
 
 
 def squeezed(counts: np.ndarray) -> bytes:
-    """Counts, most of which are 0 or 1, by place value without the empty places, compressed."""
+    """Counts, most of which are 0 or 1, by place value without the empty places, compressed if there are many."""
     width = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
     places = packed(counts.astype(np.uint64))[: width * len(counts)]
-    return bytes([width]) + zlib.compress(places, 1)
+    return bytes([width]) + places if len(places) < SMALL else bytes([width + 8]) + zlib.compress(places, 1)
 
 
 def counts_of(raw: bytes) -> np.ndarray:
-    width, places = raw[0], np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8)
+    width, places = raw[0], np.frombuffer(raw[1:] if raw[0] <= 8 else zlib.decompress(raw[1:]), dtype=np.uint8)
+    width -= 8 * (width > 8)
     places = places.reshape(width, len(places) // width)
     return sum(places[k].astype(np.int64) << (8 * k) for k in range(width))
 
@@ -137,15 +144,16 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pa.table({k: pa.array([], t) for k, t in (("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("target", pa.binary()), ("rest", pa.binary()), ("words", pa.binary()))})
         b = Block(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), targets_of(right))
         at = cut_places(b.keys, blocks)
+        used = np.flatnonzero(np.diff(at))
         target, rest = b.counts()
 
         def cut(x: np.ndarray, pack: Callable[[np.ndarray], bytes]) -> pa.Array:
-            return pa.array([pack(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            return pa.array([pack(x[i:j]) for i, j in zip(at[used].tolist(), at[used + 1].tolist(), strict=True)], pa.binary())
 
         return pa.table(
             {
-                "bucket": pa.array(np.arange(blocks), pa.int32()),
-                "block": pa.array([left.column("block")[0].as_py()] * blocks, pa.int32()),
+                "bucket": pa.array(used, pa.int32()),
+                "block": pa.array([left.column("block")[0].as_py()] * len(used), pa.int32()),
                 "keys": cut(b.keys, packed),
                 "target": cut(target, squeezed),
                 "rest": cut(rest, squeezed),
@@ -184,8 +192,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
             return pa.table({k: pa.array([], pa.int64() if k in names[:2] else pa.float64()) for k in names})
         b = Block(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), targets_of(right))
         sums = right.filter(pc.is_valid(right.column("bucket"))).sort_by("bucket")
-        target, rest = (np.concatenate([counts_of(x) for x in sums.column(k).to_pylist()]).astype(np.float64) for k in ("target", "rest"))
-        vocabulary, nt, nr = (sum(sums.column(k).to_pylist()) for k in ("vocabulary", "target_tokens", "rest_tokens"))
+        none = [np.zeros(0, dtype=np.int64)]
+        target, rest = (np.concatenate(none + [counts_of(x) for x in sums.column(k).to_pylist()]).astype(np.float64) for k in ("target", "rest"))
         own, n = b.own(), np.diff(b.first)
         lt = b.losses(target, nt, vocabulary, own, True) / np.maximum(n, 1)
         lr = b.losses(rest, nr, vocabulary, own, False) / np.maximum(n, 1)
@@ -193,5 +201,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     sent = texts.cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, keys binary, target binary, rest binary, words binary")
     sums = sent.groupBy("bucket").applyInArrow(add, "block int, bucket int, target binary, rest binary, vocabulary long, target_tokens long, rest_tokens long, doc_id long")
+    # Every row of a range carries the range's totals; the corpus's are those of one row each.
+    sums = materialise(sums, "sums")
+    totals = sums.groupBy("bucket").agg(*[F.first(c).alias(c) for c in TOTALS]).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS])
+    vocabulary, nt, nr = totals.head()
+    sums = sums.drop(*TOTALS)
     both = sums.unionByName(known, allowMissingColumns=True)
     return texts.cogroup(both.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

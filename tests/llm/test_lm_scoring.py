@@ -50,6 +50,20 @@ def test_scores_equal_the_formula(spark):
         assert got[i] == pytest.approx(x, abs=1e-9)
 
 
+def test_few_rows_for_many_blocks(spark):
+    """Ranges without n-grams get no rows: far fewer than the square of the blocks."""
+    docs = documents(spark, [f"only{k}" for k in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r.doc_id: tuple(r)[1:] for r in lm_scoring.cross_entropy_difference(docs, labels).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = brute([(k, f"only{k}") for k in range(40)], {k for k in range(40) if k % 2})
+    assert all(got[k] == pytest.approx(x, abs=1e-9) for k, x in expected.items())
+
+
 def test_small_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark, ["a b", "a b c", None])
