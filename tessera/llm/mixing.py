@@ -9,16 +9,17 @@ slots each source is less than one block away from its share.
 Weights are exact: whole numbers in the proportion of the target weights, whatever their
 size, so releases and deadlines hold over a whole phase and nothing is rounded.  Where a
 source runs out, a new phase begins in which the weights of the remaining ones are scaled
-up.  The driver plays the schedule once and keeps its state (a few numbers for each of at
-most MAX_SOURCES sources) every FRAME slots; from these states executors play the frames
-again, side by side, and write the slot of every block.  The driver's time grows with the
-number of blocks, its memory with that number over FRAME; it never handles documents: their
-positions come from counts by bucket of the order, and a window over buckets that no
-source can overfill.
-
-A null source is a source of its own; null texts count as documents.  Null ids share one
-bucket and are ordered by text hash; repeated rows are ordered arbitrarily among
-themselves.  An empty table gives an empty result.  No row is dropped.
+up.  The driver plays the schedule once and keeps its state (two numbers for each source)
+every frame of at least FRAME slots; frames grow with sources and blocks, so that there are
+at most FRAMES of them and their states hold no more numbers than an eighth of the blocks.  From these
+states executors play the frames again, side by side, and write the slot of every block.
+Any number of sources is planned, in driver memory of a few numbers for each; the driver's
+time grows with the number of blocks.  It never handles documents: their positions come from
+counts by bucket of the order, and a window over buckets that no source can overfill.
+
+A null source is a source of its own; null texts count as documents.  Null ids are ordered
+by text hash, where there is a text; rows that have the same key then are ordered
+arbitrarily among themselves, and dealt over many windows if they are many.  An empty table gives an empty result.  No row is dropped.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import built, materialise
 
-FRAME, MAX_SOURCES, BLOCK = 1000, 1000, 16
+FRAME, FRAMES, BLOCK = 1000, 4096, 16
 #: Rows that one window group is meant for.
 GROUP = 1024
 
@@ -121,6 +122,28 @@ def default_weights(counts: dict, power: float = 0.5) -> dict:
     return {s: Fraction(round(n**power * 1000), 1000) for s, n in counts.items()}
 
 
+def without_hot_buckets(marked: DataFrame, counts: DataFrame, source: str, digest: str, bucket: str) -> tuple[DataFrame, DataFrame]:
+    """The same rows and counts with the buckets of very many rows cut by the whole MD5 and, within one MD5, by a number dealt once.
+
+    Only repeated or missing ids fill a bucket so; their numbers are written with the rows, as
+    both the counts and the documents have to see the same ones.
+    """
+    hot = counts.where(F.col("n") > 64 * GROUP)
+    most = hot.agg(F.max("n")).head()[0]
+    if most is None:
+        return marked, counts
+    digits = 1
+    while most > GROUP * 16**digits:
+        digits += 1
+    keys = built(materialise(hot.select(source, bucket), "hot"))
+    number = F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16**digits)))), digits, "0")
+    rows = marked.join(keys, [source, bucket], "left_semi").withColumn(digest, F.concat(digest, number)).withColumn(bucket, F.col(digest))
+    rows = materialise(rows, "dealt")
+    more = rows.groupBy(source, bucket).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.where(F.col("n") <= 64 * GROUP).unionByName(more), "counts")
+    return marked.join(keys, [source, bucket], "left_anti").unionByName(rows), counts
+
+
 def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """docs with block (number within the source), slot (of the block) and place; ordering by place mixes the sources.
 
@@ -142,19 +165,20 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
         digits += 1
     marked = marked.withColumn(bucket, F.substring(digest, 1, digits))
     counts = materialise(marked.groupBy(source, bucket).agg(F.count(F.lit(1)).alias("n")), "counts")
-    sizes = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    marked, counts = without_hot_buckets(marked, counts, source, digest, bucket)
+    sizes = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).toLocalIterator()}
     target = default_weights(sizes)
     target.update({"null" if s is None else f"s{s}": Fraction(w) for s, w in (weights or {}).items() if Fraction(w) > 0})
     names = sorted(sizes)
     shares = whole_weights({s: target[s] for s in names}) if names else {}
     weight, blocks = [shares[s] for s in names], [-(-sizes[s] // block) for s in names]
-    # A state holds two numbers a source: longer frames where sources are many.
-    frame = max(frame, 16 * len(names))
+    # A state holds two numbers a source: longer frames where sources or blocks are many.
+    frame = max(frame, 16 * len(names), -(-sum(blocks) // FRAMES))
+    sent = spark.sparkContext.broadcast((names, weight, blocks))
     frames = spark.createDataFrame(list(states(weight, blocks, frame)), "slot long, start long, base array<long>, done array<long>")
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight, blocks = sent.value
         for batch in batches:
             for at in batch.to_pylist():
                 taken = Schedule(weight, blocks, **at).take(frame)

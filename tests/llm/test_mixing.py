@@ -1,6 +1,7 @@
 """Pfair mixing against its definition."""
 
 import hashlib
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -65,10 +66,26 @@ def test_empty_null_and_repeated_rows(spark):
     assert len(got) == 7 and len({r.place for r in got}) == 7
 
 
-def test_too_many_sources_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    with pytest.raises(ValueError):
-        mixing.mix_sources(documents(spark, ["a", "b", "c"]))
+def test_many_sources(spark, monkeypatch):
+    """More sources than a frame has slots, and frames that grow with the blocks."""
+    monkeypatch.setattr(mixing, "FRAMES", 3)
+    sources = [f"s{k % 150}" for k in range(700)]
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+    rows = {r.doc_id: (r.block, r.slot, r.place) for r in mixing.mix_sources(docs, block=1, frame=10).collect()}
+    sizes = Counter(f"s{s}" for s in sources)
+    shares, names = mixing.whole_weights(mixing.default_weights(sizes)), sorted(sizes)
+    order = mixing.Schedule([shares[s] for s in names], [sizes[s] for s in names]).take(700)
+    assert {p: (f"s{sources[i]}", b) for i, (b, _, p) in rows.items()} == {p: (names[s], b) for p, (s, b) in enumerate(order)}
+
+
+def test_many_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = [(None, "a")] * 900 + [(7, "a")] * 300 + [(k, "ab"[k % 2]) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
+    got = mixing.mix_sources(docs, {"a": 1, "b": 1}, block=3).collect()
+    assert len(got) == 1300 and len({r.place for r in got}) == 1300
+    sizes = {s: sum(r[1] == s for r in rows) for s in "ab"}
+    assert {s: sorted(r.block for r in got if r.source == s) for s in "ab"} == {s: [k // 3 for k in range(n)] for s, n in sizes.items()}
 
 
 def drift(order, weights):
