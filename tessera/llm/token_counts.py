@@ -9,6 +9,7 @@ cluster-wide table of distinct pre-tokens would shuffle more bytes than the text
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +29,24 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\
 MEMORY, TOGETHER = 400_000, 256
 
 
+def plain_byte_level(parts: dict) -> bool:
+    """Whether a tokenizer's description says that PRE_TOKEN cuts its texts: byte level, nothing else before it."""
+    before = parts.get("pre_tokenizer") or {}
+    plain = all(not t[k] for t in parts.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+    return before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and parts.get("normalizer") is None and plain
+
+
 class PieceCounter:
-    """Counts tokens of texts; remembers the number of pieces of each distinct pre-token."""
+    """Counts tokens of texts; remembers the number of pieces of each distinct pre-token.
+
+    A vocabulary whose texts are cut in another way is refused: its counts would be wrong.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        if not plain_byte_level(json.loads(tokenizer_json)):
+            raise ValueError("only byte-level vocabularies without normaliser and prefix space are supported")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -71,7 +84,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     row by row; other columns are ignored; texts of any length are counted whole.  The
     vocabulary file (about a megabyte, fixed) is read on the driver and broadcast.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    text = Path(tokenizer_path).read_text(encoding="utf-8")
+    PieceCounter(text)  # refuses other vocabularies before any job runs
+    sent = docs.sparkSession.sparkContext.broadcast(text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(sent.value)

@@ -30,6 +30,17 @@ def test_token_counts_equal_the_library(spark):
     assert sorted(got) == expected
 
 
+def test_other_vocabularies_are_refused(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    parts = json.loads(Path(queries.tokenizer_path()).read_text(encoding="utf-8"))
+    parts["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(parts), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_counts.token_counts(documents(spark, ["a"]), str(tmp_path / "other.json"))
+
+
 def test_token_counts_of_an_empty_table(spark):
     assert rows(token_counts.token_counts(documents(spark, []), queries.tokenizer_path())) == []
 
