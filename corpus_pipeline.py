@@ -10,12 +10,10 @@ tested against brute force in tests/llm.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard_join, mixing, substring_dedup, toxicity
-from tessera.llm.common import shared_dir
+from tessera.llm.common import materialise, release
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    A stage's table is deleted once the next one is written; the last one read stays for the result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{folder}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = materialise(docs, f"pipeline-{k}-{name}")
+            if k:
+                release(before)  # the stage that read it has been written
     return docs
