@@ -1,7 +1,7 @@
 """Fold aggregates: (initial, (accumulator, row) -> accumulator, accumulator -> result).
 
-A traced fold that is a sum, a count, a minimum or a maximum becomes the built-in
-aggregate, with the seed taking part as in the fold; accumulators that are tuples are taken
+A traced fold that is a sum (also of some rows only), a count, a minimum or a maximum becomes the
+built-in aggregate, with the seed taking part as in the fold; accumulators that are tuples are taken
 apart.  Any other fold runs over the collected group inside the JVM, which holds a group in
 memory and needs a step that does not depend on the order of rows.
 """
@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import ExpressionError, Node, RowProxy, column, names, trace
+from tessera.functions.expressions import ExpressionError, Node, RowProxy, column, kind_of, names, trace, truth
 
 ACC = "__acc__"
 
@@ -23,6 +23,26 @@ def depends(tree: Node, name: str) -> bool:
     return name in names(tree)
 
 
+def added(step: Node, is_acc: Callable[[Node], bool], resolve: Callable[[str], Column]) -> Column | None:
+    """What a step adds to its accumulator for a row, where all that it does is to add something or nothing."""
+    if is_acc(step):
+        return F.lit(0)
+    if step.op in ("+", "-") and is_acc(step.args[0]) and not depends(step.args[1], ACC):
+        value = column(step.args[1], resolve)
+        return -value if step.op == "-" else value
+    if step.op == "+" and is_acc(step.args[1]) and not depends(step.args[0], ACC):
+        return column(step.args[0], resolve)
+    if step.op == "+" and not depends(step.args[1], ACC):  # (acc + x) + y
+        first = added(step.args[0], is_acc, resolve)
+        return None if first is None else first + column(step.args[1], resolve)
+    if step.op == "if" and not depends(step.args[0], ACC):
+        yes, no = (added(x, is_acc, resolve) for x in step.args[1:])
+        if yes is not None and no is not None:
+            test = column(step.args[0], resolve)
+            return F.when(truth(test, kind_of(test, step.args[0], resolve)), yes).otherwise(no)
+    return None
+
+
 def builtin(initial: Any, step: Node, acc: Node, resolve: Callable[[str], Column]) -> Column | None:
     """The built-in aggregate of a step on one scalar accumulator, if it is one."""
     key = acc.key()
@@ -33,6 +53,9 @@ def builtin(initial: Any, step: Node, acc: Node, resolve: Callable[[str], Column
         if not depends(value, ACC):
             total = F.count(F.lit(1)) * F.lit(value.args[0]) if value.op == "lit" else F.sum(column(value, resolve))
             return F.lit(initial) + total
+    part = added(step, is_acc, resolve)
+    if part is not None:
+        return F.lit(initial) + F.coalesce(F.sum(part), F.lit(0))
     if step.op == "if" and step.args[0].op in ("<", ">", "<=", ">="):
         condition, yes, no = step.args
         left, right = condition.args

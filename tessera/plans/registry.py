@@ -6,6 +6,7 @@ Sums of prices are decimals before they are added, so both engines agree to the
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -28,7 +29,7 @@ def database(spark: SparkSession, sf_dir: str, *names: str) -> Database:
     """Relations over the Parquet tables; nothing is copied."""
     db = Database(spark)
     for n in names or TABLES:
-        db.register(n, spark.read.parquet(f"{sf_dir}/{n}.parquet"))
+        db.register(n, functools.partial(spark.read.parquet, f"{sf_dir}/{n}.parquet"))
     return db
 
 

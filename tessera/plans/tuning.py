@@ -35,7 +35,7 @@ class Tuning:
         for n in names:
             key = n.lower()
             if key in self.plain:
-                self.database.views[key].unpersist()
+                self.database.table(key).unpersist()
                 if (old := self.plain.pop(key)) is not None:
                     self.database.register(key, old)
                 else:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ class Database:
         self.spark = spark
         self.folder = (dataDir or f"{spark.conf.get('spark.sql.warehouse.dir')}/db-{uuid.uuid4().hex[:8]}").rstrip("/")
         self.catalog: dict = {"relations": {}, "indexes": {}, "next": 1}
-        self.views: dict[str, DataFrame] = {}
+        self.views: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self.materialized: dict[str, DataFrame] = {}
         self._registered: dict[str, int] = {}
         self._stats: dict[tuple, object] = {}
@@ -62,8 +63,8 @@ class Database:
 
     # Relations.
 
-    def register(self, name: str, df: DataFrame) -> None:
-        """A read-only relation over any DataFrame, such as a Parquet source."""
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """A read-only relation over any DataFrame, such as a Parquet source, or over what a function returns when it is first read."""
         self.views[name.lower()] = df
         self._registered[name.lower()] = self._registered.get(name.lower(), 0) + 1
 
@@ -115,6 +116,8 @@ class Database:
     def table(self, name: str) -> DataFrame:
         key = name.lower()
         if key in self.views:
+            if not isinstance(self.views[key], DataFrame):
+                self.views[key] = self.views[key]()
             return self.views[key]
         if key not in self.catalog["relations"]:
             raise ValueError(f"no relation {name}")
