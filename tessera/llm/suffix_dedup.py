@@ -41,7 +41,7 @@ from tessera.llm.resolve import remove_repeats, span_arrays
 
 LENGTH = 100
 #: Bytes of the pieces of one anchor beyond which they are cut by longer anchors.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 #: Bytes of pieces that one task is meant for, and those of one suffix array.
 TASK_BYTES, SHARD_BYTES = 1 << 21, 1 << 19
 #: Windows of a fragment that repeats itself which are looked at together, and of one piece.
@@ -353,28 +353,24 @@ def contested_strings(length: int):
         every = pieces_of(contested, length)
         repeats = every.where("bytes is null").select("doc_id", "start", "windows")
         pieces, gram = every.where("bytes is not null"), scheme_for(length).gram
-        gathered, done = [], []
+        rest, total, written = None, 0, []
         while True:
             gram = longer(gram, length)
             settled, smaller = cut_again(pieces, gram, length)
-            release(*done)
+            written.append(smaller)
             repeats = repeats.unionByName(settled)
-            total, largest = smaller.agg(F.sum(F.length("bytes")), F.max("size")).head()
-            done = [smaller]
-            if total is None:
-                break
+            n_bytes, largest = smaller.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).head()
             last = largest <= GROUP_BYTES or gram >= length
             few = smaller if last else smaller.where(F.col("size") <= GROUP_BYTES)
-            tasks = max(-(-total // TASK_BYTES), int(contested.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            task = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task")
-            found = few.select(task, "doc_id", "start", "bytes").groupBy("task").applyInArrow(later, "doc_id long, start int, windows int")
-            gathered.append(materialise(found, "later"))
+            rest, total = few if rest is None else rest.unionByName(few), total + n_bytes
             if last:
                 break
             pieces = smaller.where(F.col("size") > GROUP_BYTES)
-        release(*done)
-        for table in gathered:
-            repeats = repeats.unionByName(table)
+        tasks = max(total // TASK_BYTES, int(contested.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        task = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task")
+        found = rest.select(task, "doc_id", "start", "bytes").groupBy("task").applyInArrow(later, "doc_id long, start int, windows int")
+        repeats = repeats.unionByName(materialise(found, "later"))
+        release(*written)
         run = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
         return repeats.groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
 
