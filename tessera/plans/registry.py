@@ -765,3 +765,5 @@ def _(db):
     return windowed_counts(db.table("events"))
 
 
+
+from tessera.plans import interface  # noqa: E402, F401 - registers its queries here
