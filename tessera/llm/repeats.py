@@ -33,8 +33,8 @@ from tessera.llm.common import built, materialise, mix, odd_powers, release
 U64 = np.uint64
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Units hashed together; longer texts are hashed by themselves.
-TOGETHER = 1 << 18
+#: Bytes hashed together; longer texts are hashed by themselves, in slices of LONG bytes.
+TOGETHER, LONG = 1 << 18, 1 << 20
 
 
 class Tables:
@@ -127,7 +127,12 @@ def word_units(texts: list[bytes], tables: Tables) -> tuple[np.ndarray, np.ndarr
     raw = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts], dtype=np.int64)
     start, stop = word_places(raw)
-    hashes = Rolling(BYTE_HASH[raw], tables).at(start, stop)
+    hashes, a = np.empty(len(start), dtype=U64), 0
+    while a < len(start):  # words within LONG bytes at once, or a single one
+        b = max(a + 1, int(np.searchsorted(stop, start[a] + LONG, side="right")))
+        at = start[a]
+        hashes[a:b] = Rolling(BYTE_HASH[raw[at : stop[b - 1]]], tables).at(start[a:b] - at, stop[a:b] - at)
+        a = b
     return hashes, np.searchsorted(start, offsets)
 
 
@@ -175,6 +180,20 @@ def in_chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[b
         yield part_ids, part
 
 
+def in_slices(ids: list, texts: list[str | None], scheme: Scheme) -> Iterator[tuple[list, np.ndarray, list[bytes]]]:
+    """As in_chunks, with the first unit of each piece: long texts whose units are bytes come in slices.
+
+    Slices overlap so that each window is in one of them.  A fragment that a border cuts has
+    other contents than its copies elsewhere, and is contested rather than equal.
+    """
+    for some, parts in in_chunks(ids, texts):
+        if scheme.units is not byte_units or len(parts[0]) <= LONG:
+            yield some, np.zeros(len(some), dtype=np.int64), parts
+            continue
+        for at in range(0, len(parts[0]), LONG):  # a long text comes alone
+            yield some, np.array([at]), [parts[0][at : at + LONG + scheme.window - 1]]
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -185,7 +204,7 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
         for batch in batches:
-            for ids, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, _, texts in in_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), scheme):
                 f = fragments(texts, scheme, tables)
                 if scheme.within:
                     anchor, n = np.unique(np.concatenate([f["anchor"], f["anchor"][f["twice"]]]), return_counts=True)
@@ -201,11 +220,11 @@ def shared_fragments(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables()
         for batch in batches:
-            for ids, texts in in_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, offsets, texts in in_slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), scheme):
                 f = fragments(texts, scheme, tables)
                 owner = np.array(ids, dtype=np.int64)[f["text"]]
                 # Three small fields in one: rows of this table are the bulk of what is shuffled.
-                place = f["start"].astype(np.int64) << 32 | f["windows"].astype(np.int64) << 1 | f["twice"]
+                place = (f["start"] + offsets[f["text"]]).astype(np.int64) << 32 | f["windows"].astype(np.int64) << 1 | f["twice"]
                 yield pa.record_batch([signed(f["anchor"]), signed(f["whole"]), pa.array(owner), pa.array(place)], ["anchor", "whole", "doc_id", "place"])
 
     counted = docs.mapInArrow(anchors, "anchor long, low long, high long").groupBy("anchor")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tests.llm.helpers import clashing, documents, edge_cases
 
-from tessera.llm import substring_dedup, suffix_dedup
+from tessera.llm import repeats, substring_dedup, suffix_dedup
 
 
 def brute_words(pairs, window):
@@ -113,6 +113,19 @@ def test_suffix_dedup_of_ties_and_missing_ids(spark):
     assert suffix_dedup.dedup_report(docs.limit(0)).count() == 0
 
 
+def test_long_texts_in_slices(spark, monkeypatch):
+    """Chunks of 300 bytes, slices of 400: passages cross borders at different places of different texts."""
+    monkeypatch.setattr(repeats, "TOGETHER", 300)
+    monkeypatch.setattr(repeats, "LONG", 400)
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abcdefgh  ", k=rng.randint(90, 700))) for _ in range(6)]
+    texts = ["".join(rng.choice(passages)[rng.randint(0, 40) :] + "".join(rng.choices("xyz ", k=rng.randint(0, 90))) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts += ["ab" * 900, "ab" * 800 + "c" + "ab" * 300]
+    docs = documents(spark, texts).repartition(4)
+    assert sorted(map(tuple, suffix_dedup.dedup_report(docs).collect())) == brute_bytes(list(enumerate(texts)), 100)
+    assert sorted(map(tuple, substring_dedup.dedup_report(docs, 10).collect())) == brute_words(list(enumerate(texts)), 10)
+
+
 def test_suffix_dedup_of_one_frequent_passage(spark):
     """A passage of 90 bytes with 700 different surroundings, and pairs of equal surroundings."""
     rng = random.Random(3)
