@@ -41,7 +41,7 @@ from tessera.llm.resolve import remove_repeats, span_arrays
 
 LENGTH = 100
 #: Bytes of the pieces of one anchor beyond which they are cut by longer anchors.
-GROUP_BYTES = 1 << 19
+GROUP_BYTES = 1 << 18
 #: Bytes of pieces that one task is meant for, and those of one suffix array.
 TASK_BYTES, SHARD_BYTES = 1 << 21, 1 << 19
 #: Windows of a fragment that repeats itself which are looked at together, and of one piece.
