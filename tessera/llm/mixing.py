@@ -9,12 +9,16 @@ slots each source is less than one block away from its share.
 Weights are exact: whole numbers in the proportion of the target weights, whatever their
 size, so releases and deadlines hold over a whole phase and nothing is rounded.  Where a
 source runs out, a new phase begins in which the weights of the remaining ones are scaled
-up.  The driver plays the schedule once and keeps its state (two numbers for each source)
-every frame of at least FRAME slots; frames grow with sources and blocks, so that there are
-at most FRAMES of them and their states hold no more numbers than an eighth of the blocks.  From these
-states executors play the frames again, side by side, and write the slot of every block.
-Any number of sources is planned, in driver memory of a few numbers for each; the driver's
-time grows with the number of blocks.  It never handles documents: their positions come from
+up.  The driver keeps the schedule's state (two numbers for each source) every frame of at
+least FRAME slots; frames grow with sources and blocks, so that there are at most FRAMES of
+them and their states hold no more numbers than an eighth of the blocks.  Within a phase the
+schedule repeats after a period, the sum of the remaining weights, in slots; the driver plays
+at most three periods of a phase, or the whole phase if that is shorter, and leaps over the
+rest.  From the states executors play all frames, side by side, and write the slot of every
+block.  Any number of sources is planned, in driver memory of a few numbers for each.  With
+default weights a period has at most 1000 slots for each source, so the driver's time depends
+on the sources and not on the documents; with weights of many digits it may grow with the
+blocks.  The driver never handles documents: their positions come from
 counts by bucket of the order, and a window over buckets that no source can overfill.
 
 A null source is a source of its own; null texts count as documents.  Null ids are ordered
@@ -37,13 +41,20 @@ from pyspark.sql import functions as F
 from tessera.llm.common import built, materialise
 
 FRAME, FRAMES, BLOCK = 1000, 4096, 16
+#: Slots played, or written, at once.
+PIECE = 8192
 #: Rows that one window group is meant for.
 GROUP = 1024
 
 
+def exactly(weight) -> Fraction:
+    """A weight without rounding; a float counts as the decimal number that it prints as."""
+    return Fraction(repr(float(weight))) if isinstance(weight, float) else Fraction(weight)
+
+
 def whole_weights(weights: dict) -> dict:
     """The least positive whole numbers in exactly the proportion of positive weights."""
-    exact = {s: Fraction(w) for s, w in weights.items()}
+    exact = {s: exactly(w) for s, w in weights.items()}
     scale = math.lcm(*(w.denominator for w in exact.values()))
     out = {s: w.numerator * (scale // w.denominator) for s, w in exact.items()}
     common = math.gcd(*out.values())
@@ -68,13 +79,29 @@ class Schedule:
         return self.slot, self.start, list(self.base), list(self.done)
 
     def _queue(self) -> None:
-        live = [s for s, n in enumerate(self.blocks) if self.base[s] < n]
-        self.total = sum(self.weights[s] for s in live)
+        self.live = [s for s, n in enumerate(self.blocks) if self.base[s] < n]
+        self.total = sum(self.weights[s] for s in self.live)
         self.ready: list[tuple] = []
         self.later: list[tuple] = []
-        for s in live:
+        for s in self.live:
             self._push(s)
 
+    def periods(self) -> int:
+        """Whole periods of total slots each after which every live source still has a block to take."""
+        return min(((self.blocks[s] - 1 - self.done[s]) // self.weights[s] for s in self.live), default=0)
+
+    def state_after(self, periods: int) -> tuple:
+        """The state that many periods later: each has every live source take as many blocks as its weight."""
+        slot, start, base, done = self.state()
+        for s in self.live:
+            done[s] += periods * self.weights[s]
+        return slot + periods * self.total, start, base, done
+
+    def play(self, slots: int) -> None:
+        """Take so many slots and forget them."""
+        for k in range(0, slots, PIECE):
+            self.take(min(PIECE, slots - k))
+
     def _push(self, s: int) -> None:
         k, w = self.done[s] - self.base[s], self.weights[s]
         heapq.heappush(self.later, (k * self.total // w, -(-(k + 1) * self.total // w), s))
@@ -110,16 +137,29 @@ def pfair_frame(shares: dict) -> list:
 
 
 def states(weights: list[int], blocks: list[int], frame: int = FRAME) -> Iterator[tuple]:
-    """The schedule's state at every frame slots, from 0 on."""
+    """The schedule's state at every frame slots, from 0 on; of many periods of a phase only one is played."""
     schedule, total = Schedule(weights, blocks), sum(blocks)
     while schedule.slot < total:
-        yield schedule.state()
-        schedule.take(frame)
+        periods, period = schedule.periods(), schedule.total
+        if periods < 2:
+            yield schedule.state()
+            schedule.play(frame)
+            continue
+        leap = periods * period
+        wanted = sorted((at % period, at // period) for at in range(0, leap, frame))
+        one, found = Schedule(weights, blocks, *schedule.state()), []
+        for place, skipped in wanted:
+            one.play(schedule.slot + place - one.slot)
+            found.append(one.state_after(skipped))
+        yield from sorted(found)
+        schedule = Schedule(weights, blocks, *schedule.state_after(periods))
+        schedule.play(-leap % frame)
 
 
 def default_weights(counts: dict, power: float = 0.5) -> dict:
-    """Weights in proportion to a power of the sources' sizes: large sources give way to small ones."""
-    return {s: Fraction(round(n**power * 1000), 1000) for s, n in counts.items()}
+    """Weights as a power of the sources' sizes, so that large sources give way to small ones: 1000 for the largest, whole numbers, at least 1."""
+    most = max(counts.values(), default=1)
+    return {s: Fraction(max(1, round(1000 * (n / most) ** power))) for s, n in counts.items()}
 
 
 def without_hot_buckets(marked: DataFrame, counts: DataFrame, source: str, digest: str, bucket: str) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +208,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
     marked, counts = without_hot_buckets(marked, counts, source, digest, bucket)
     sizes = {r[0]: r[1] for r in counts.groupBy(source).agg(F.sum("n")).toLocalIterator()}
     target = default_weights(sizes)
-    target.update({"null" if s is None else f"s{s}": Fraction(w) for s, w in (weights or {}).items() if Fraction(w) > 0})
+    target.update({"null" if s is None else f"s{s}": exactly(w) for s, w in (weights or {}).items() if exactly(w) > 0})
     names = sorted(sizes)
     shares = whole_weights({s: target[s] for s in names}) if names else {}
     weight, blocks = [shares[s] for s in names], [-(-sizes[s] // block) for s in names]
@@ -181,9 +221,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = BLOCK
         names, weight, blocks = sent.value
         for batch in batches:
             for at in batch.to_pylist():
-                taken = Schedule(weight, blocks, **at).take(frame)
-                columns = [[names[s] for s, _ in taken], [k for _, k in taken], range(at["slot"], at["slot"] + len(taken))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=[source, "block", "slot"])
+                schedule, left = Schedule(weight, blocks, **at), frame
+                while left and (taken := schedule.take(min(left, PIECE))):
+                    left -= len(taken)
+                    columns = [[names[s] for s, _ in taken], [k for _, k in taken], range(schedule.slot - len(taken), schedule.slot)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=[source, "block", "slot"])
 
     schedule = frames.mapInArrow(play, f"{source} string, block long, slot long")
     # Rows before a bucket in two levels, so that no window holds more than the root of a source's buckets.

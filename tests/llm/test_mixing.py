@@ -90,10 +90,11 @@ def test_many_rows_without_id(spark, monkeypatch):
 
 def drift(order, weights):
     """The largest distance, in blocks, of any source from its exact share after any slot."""
-    total, taken, worst = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), Fraction(0)
+    weights = {x: mixing.exactly(w) for x, w in weights.items()}
+    total, taken, worst = sum(weights.values()), dict.fromkeys(weights, 0), Fraction(0)
     for t, s in enumerate(order, 1):
         taken[s] += 1
-        worst = max(worst, *(abs(taken[x] - Fraction(w) * t / total) for x, w in weights.items()))
+        worst = max(worst, *(abs(taken[x] - w * t / total) for x, w in weights.items()))
     return worst
 
 
@@ -113,6 +114,42 @@ def test_a_schedule_goes_on_from_every_state():
     assert [x for part in parts for x in part] == whole
 
 
+@pytest.mark.parametrize("frame", [1, 10, 17, 1000, 5000])
+def test_leaps_over_periods_change_no_state(frame):
+    weights, blocks = [7, 1, 30, 11, 2], [4000, 30, 9000, 5500, 900]
+    schedule, played = mixing.Schedule(weights, blocks), []
+    while schedule.slot < sum(blocks):
+        played.append(schedule.state())
+        schedule.take(frame)
+    assert list(mixing.states(weights, blocks, frame)) == played
+
+
+def test_time_of_the_plan_does_not_grow_with_the_blocks(monkeypatch):
+    played = Counter()
+    take = mixing.Schedule.take
+
+    def counted(self, slots):
+        out = take(self, slots)
+        played["slots"] += len(out)
+        return out
+
+    monkeypatch.setattr(mixing.Schedule, "take", counted)
+    sizes = {str(k): 10**9 // (k + 1) for k in range(20)}
+    shares = mixing.whole_weights(mixing.default_weights(sizes))
+    blocks = list(sizes.values())
+    frame = sum(blocks) // mixing.FRAMES
+    found = list(mixing.states(list(shares.values()), blocks, frame))
+    assert [f[0] for f in found] == list(range(0, sum(blocks), frame)) and all(sum(f[3]) == f[0] for f in found)
+    assert played["slots"] < 20 * (3 * sum(shares.values()) + 2 * frame)
+    # The leap lands on the states that the schedule itself passes through.
+    slot, start, base, done = found[100]
+    assert start == 0 and all(abs(d - Fraction(w * slot, sum(shares.values()))) < 1 for d, w in zip(done, shares.values(), strict=True))
+
+
+def test_floats_count_as_they_print():
+    assert mixing.whole_weights({"a": 0.1, "b": 0.2, "c": 0.7}) == {"a": 1, "b": 2, "c": 7}
+
+
 def test_mixture_keeps_to_exact_targets(spark):
     docs = spark.range(12_000).selectExpr("id as doc_id", "if(id < 4000, 'a', 'b') as source")
     got = mixing.mix_sources(docs, {"a": 1, "b": 2}, block=1).orderBy("place").collect()
