@@ -13,7 +13,7 @@ up.  The driver keeps the schedule's state (two numbers for each source) every f
 least FRAME slots; frames grow with sources and blocks, so that there are at most FRAMES of
 them and their states hold no more numbers than an eighth of the blocks.  Within a phase the
 schedule repeats after a period, the sum of the remaining weights, in slots; the driver plays
-at most three periods of a phase, or the whole phase if that is shorter, and leaps over the
+a few periods of a phase, or the whole phase if that is shorter, and leaps over the
 rest.  From the states executors play all frames, side by side, and write the slot of every
 block.  Any number of sources is planned, in driver memory of a few numbers for each.  With
 default weights a period has at most 1000 slots for each source, so the driver's time depends
@@ -98,9 +98,15 @@ class Schedule:
         return slot + periods * self.total, start, base, done
 
     def play(self, slots: int) -> None:
-        """Take so many slots and forget them."""
-        for k in range(0, slots, PIECE):
-            self.take(min(PIECE, slots - k))
+        """Take so many slots and forget them; whole periods are leapt over."""
+        end = min(self.slot + slots, sum(self.blocks))
+        while self.slot < end:
+            periods = min(self.periods(), (end - self.slot) // self.total)
+            if periods:
+                self.slot, self.start, self.base, self.done = self.state_after(periods)
+                self._queue()
+            else:
+                self.take(min(PIECE, end - self.slot))
 
     def _push(self, s: int) -> None:
         k, w = self.done[s] - self.base[s], self.weights[s]
@@ -152,8 +158,7 @@ def states(weights: list[int], blocks: list[int], frame: int = FRAME) -> Iterato
             one.play(schedule.slot + place - one.slot)
             found.append(one.state_after(skipped))
         yield from sorted(found)
-        schedule = Schedule(weights, blocks, *schedule.state_after(periods))
-        schedule.play(-leap % frame)
+        schedule.play(len(wanted) * frame)
 
 
 def default_weights(counts: dict, power: float = 0.5) -> dict:
