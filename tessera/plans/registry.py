@@ -239,9 +239,12 @@ def _(db):
 
 @query("join_compound_whole", "select n_name, s_suppkey, c_custkey from nation, supplier, customer where n_nationkey = s_nationkey and s_nationkey = c_nationkey")
 def _(db):
-    q = db.query().fromTable("supplier").join(db.query().fromTable("customer"), method="nested-loops", expr="s_nationkey == c_nationkey")
-    q = db.query().fromTable("nation").join(q, method="nested-loops", expr="n_nationkey == s_nationkey and s_nationkey == c_nationkey")
-    return q.select({"n_name": ("n_name", "char(25)"), "s_suppkey": ("s_suppkey", "any"), "c_custkey": ("c_custkey", "any")})
+    # Every customer meets all suppliers of its nation: names are cut before the join, customers are spread over tasks, and the join that multiplies comes last.
+    named = db.query().fromTable("nation").select({"n_nationkey": ("n_nationkey", "any"), "n_name": ("n_name", "char(25)")})
+    q = db.query().fromTable("customer").select({c: (c, "any") for c in ("c_custkey", "c_nationkey")}).spread()
+    q = q.join(named, method="block-nested-loops", expr="c_nationkey == n_nationkey")
+    q = q.join(db.query().fromTable("supplier"), method="block-nested-loops", expr="n_nationkey == s_nationkey and s_nationkey == c_nationkey")
+    return q.select({c: (c, "any") for c in ("n_name", "s_suppkey", "c_custkey")})
 
 
 @query("join_semi_in_having", "select o_orderkey, o_totalprice from orders where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 200)")

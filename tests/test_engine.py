@@ -2,7 +2,8 @@
 
 import pytest
 
-from tessera.plans import optimizer, statistics, tuning, workload
+from tessera.operators import joins
+from tessera.plans import optimizer, registry, statistics, tuning, workload
 from tessera.plans.schema import Schema
 from tessera.sources.database import Database
 
@@ -361,3 +362,15 @@ def test_fixed_records_in_ranges(spark, tmp_path):
     (tmp_path / "broken.bin").write_bytes(b"12345")
     with pytest.raises(ValueError):
         files.read_fixed(spark, str(tmp_path / "broken.bin"), "i", ["i"])
+
+
+def test_join_that_multiplies_is_spread_and_names_are_cut_before_it(spark):
+    plan = registry.QUERIES["join_compound_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    top, _, below = plan.partition("Join")
+    assert "regexp_replace" not in top and "regexp_replace" in below
+    assert f"RoundRobinPartitioning({joins.TASKS_EACH * spark.sparkContext.defaultParallelism})" in below
+
+
+def test_spread_keeps_rows(spark, db):
+    q = employees(db)
+    assert sorted(q.spread().finalize()) == sorted(q.finalize()) and sorted(q.spread().where("age < 30").finalize()) == sorted(q.where("age < 30").finalize())
