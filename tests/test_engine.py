@@ -6,7 +6,7 @@ from tessera.functions.expressions import parse
 from tessera.operators import joins
 from tessera.plans import optimizer, registry, statistics, tuning, workload
 from tessera.plans.schema import Schema
-from tessera.sources.database import Database
+from tessera.sources.database import Database, rows_by_footers
 
 EMPLOYEE = Schema("employee", [("id", "int"), ("age", "int"), ("dept_id", "int")])
 HASH = {"lhsHashFn": "hash(id) % 4", "rhsHashFn": "hash(id2) % 4"}
@@ -377,7 +377,7 @@ def test_spread_keeps_rows(spark, db):
     assert sorted(q.spread().finalize()) == sorted(q.finalize()) and sorted(q.spread().where("age < 30").finalize()) == sorted(q.where("age < 30").finalize())
 
 
-@pytest.mark.parametrize("strategy", [optimizer.BushyOptimizer])
+@pytest.mark.parametrize("strategy", [optimizer.BushyOptimizer, optimizer.GreedyOptimizer])
 def test_join_order_knows_that_a_key_of_few_values_multiplies(spark, strategy):
     """Customers and suppliers of a nation make 180,000 rows, orders and lines at most 9,000."""
     db = Database(spark)
@@ -412,3 +412,16 @@ def test_equations_that_share_keys_form_a_class():
     found = optimizer.Predicate.all(trees, sources)
     assert len({p.keys for p in found[:2]} | {found[3].keys}) == 1 and found[2].keys is None and found[4].keys not in (None, found[0].keys)
     assert [p.values for p in found] == [25.0, 25.0, 1.0, 25.0, 800.0]
+
+
+def test_rows_of_parquet_come_from_footers_without_a_job(spark, tmp_path):
+    db, path = Database(spark), str(tmp_path / "t x%")
+    spark.range(5000).selectExpr("id", "'the same text in every row' as t").repartition(20).write.parquet(path)
+    source = spark.read.parquet(path)
+    db.register("whole", source)
+    db.register("part", source.where("id > 10").select("t"))
+    db.register("grouped", source.groupBy("t").count())
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    rows = {x: db.estimatedRows(x) for x in ("whole", "part", "grouped")}
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+    assert rows["whole"] == pytest.approx(5000, rel=0.05) and rows["part"] == pytest.approx(5000, rel=0.05) and rows_by_footers(db.table("grouped")) is None
