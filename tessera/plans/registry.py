@@ -511,12 +511,11 @@ def _(db):
 
 
 def q5_plan(db):
-    db.register("lines", net(db.table("lineitem")))
     db.register("year", db.table("orders").where("o_orderdate >= timestamp_ntz '1996-01-01' and o_orderdate < timestamp_ntz '1997-01-01'"))
     q = db.query().fromTable("customer")
-    for table, on in (("year", "c_custkey == o_custkey"), ("lines", "l_orderkey == o_orderkey"), ("supplier", "l_suppkey == s_suppkey and c_nationkey == s_nationkey"), ("nation", "s_nationkey == n_nationkey"), ("region", "n_regionkey == r_regionkey")):
+    for table, on in (("year", "c_custkey == o_custkey"), ("lineitem", "l_orderkey == o_orderkey"), ("supplier", "l_suppkey == s_suppkey and c_nationkey == s_nationkey"), ("nation", "s_nationkey == n_nationkey"), ("region", "n_regionkey == r_regionkey")):
         q = q.join(db.query().fromTable(table), method="block-nested-loops", expr=on)
-    q = q.where("r_name == 'ASIA'")
+    q = q.where("r_name == 'ASIA'").derive("net", NET)
     q = q.groupBy(groupSchema=key("n_name"), aggSchema=out("total"), groupExpr=lambda e: e.n_name, aggExprs=[("sum", "net")])
     return q.select({"n_name": ("n_name", "char(25)"), "revenue": ("float(total)", "double")}).finalize()
 

@@ -425,3 +425,38 @@ def test_rows_of_parquet_come_from_footers_without_a_job(spark, tmp_path):
     rows = {x: db.estimatedRows(x) for x in ("whole", "part", "grouped")}
     assert set(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
     assert rows["whole"] == pytest.approx(5000, rel=0.05) and rows["part"] == pytest.approx(5000, rel=0.05) and rows_by_footers(db.table("grouped")) is None
+
+
+def test_small_relations_are_broadcast_and_large_ones_not_shuffled_for_them(spark):
+    """Suppliers of a nation joined first made Spark shuffle the lines for them, and once more for the orders."""
+    db = Database(spark)
+    for name, n, outputs in (
+        ("l", 36_000_000, ["id % 9000000 as l1", "id % 60000 as l2"]), ("o", 9_000_000, ["id as o1", "id * 7 as o2"]),
+        ("s", 60_000, ["id as s1", "id % 25 as s2"]), ("n", 25, ["id as n1", "id % 5 as n2"]),
+    ):
+        db.register(name, spark.range(n).selectExpr(*outputs))
+    q = db.query().fromTable("o")
+    for x, on in (("l", "l1 == o1"), ("s", "l2 == s1"), ("n", "s2 == n1")):
+        q = q.join(db.query().fromTable(x), method="nested-loops", expr=on)
+    db.setOptimizer(optimizer.Optimizer)
+    plan = db.optimizeQuery(q.where("n2 == 1").finalize())
+    assert plan.joins[0].text == "Optimizer: (((1 * 2) * 3) * 0)"
+    executed = plan.df._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("SortMergeJoin") == 1 and executed.count("+- BroadcastExchange") == 2
+
+
+def test_only_stored_relations_are_small(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert joins.small(stored.where("id > 3"), 100) and joins.small(spark.range(9), 9) and not joins.small(stored, 1e9)
+    for df in (stored.selectExpr("explode(sequence(1, id * 1000000)) as x"), stored.groupBy("id").count(), stored.crossJoin(spark.range(3).toDF("b"))):
+        assert not joins.small(df, 100)
+
+
+def test_q5_prices_are_computed_after_the_joins(spark, db):
+    kinds = [op.kind for _, op in registry.q5_plan(registry.database(spark, "/root/testdata/sf0.001")).flatten()]
+    derived = employees(db).derive("twice", "cast(age * 2 as decimal(9,2))")
+    assert kinds[:5] == ["Project", "GroupBy", "Project", "Select", "Join"]
+    assert [r.twice for r in derived.finalize()] == [2 * r.age for r in employees(db).finalize()]
+    with pytest.raises(ValueError):
+        derived.derive("Twice", "1")
